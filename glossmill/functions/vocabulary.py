@@ -38,5 +38,6 @@ def entry_keys(refs: DataFrame) -> DataFrame:
     """
     names = F.concat(F.array(F.struct(F.lit(0).alias("rank"), F.col("canonical").alias("name"))), F.transform(F.split(F.coalesce("aliases", F.lit("")), "\\|"), lambda a: F.struct(F.lit(1).alias("rank"), a.alias("name"))))
     spelled = refs.select("field_name", F.coalesce("L1", F.lit("")).alias("l1"), "ref_id", "canonical", F.explode(names).alias("n"))
-    keyed = spelled.withColumn("key", simplify_han(bare_letters(F.col("n.name")))).filter("key <> ''")
-    return keyed.groupBy("field_name", "l1", "key").agg(F.min(F.struct("n.rank", "ref_id", "canonical")).alias("e")).select("field_name", "l1", "key", "e.ref_id", "e.canonical")
+    unmarked = lambda k: F.array_distinct(F.array(k, F.translate(F.replace(F.replace(F.replace(k, F.lit("ä"), F.lit("ae")), F.lit("ö"), F.lit("oe")), F.lit("ü"), F.lit("ue")), "áéíóúñ", "aeioun")))
+    keyed = spelled.select("*", F.posexplode(let(simplify_han(bare_letters(F.col("n.name"))), unmarked)).alias("spelled", "key")).filter("key <> ''")
+    return keyed.groupBy("field_name", "l1", "key").agg(F.min(F.struct("spelled", "n.rank", "ref_id", "canonical")).alias("e")).select("field_name", "l1", "key", "e.ref_id", "e.canonical")

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import strip
+from glossmill.functions.text import let, strip
+from glossmill.session import spread
 
 # Separators by family, and opening and closing quotes by style.
 SEPARATORS = {"comma": ",，", "semicolon": ";；", "slash": "/／", "bar": "|｜", "ideographic": "、､", "tab": "\t", "line": "\n\r"}
@@ -41,36 +42,51 @@ def _quoted(styles: list[str]) -> str:
     return "(?:" + "|".join(parts) + ")"
 
 
-def dialects() -> list[dict]:
-    """Separator sets (none, each family, all) times quote sets (none, each style, all)."""
-    found = []
-    seps = {"none": ""} | SEPARATORS | {"all": ALL_SEPARATORS}
-    quotes = {"none": []} | {q: [q] for q in QUOTES} | {"all": list(QUOTES)}
-    for s, chars in seps.items():
-        for q, styles in quotes.items():
-            plain = f"[^{_escape(chars)}]" if chars else "[\\s\\S]"
-            end = f"(?=[\\s\\p{{Z}}]*(?:$|[(（]{'|[' + _escape(chars) + ']' if chars else ''}))"
-            start = f"(?:(?<=^)|(?<=[\\s\\p{{Z}}{_escape(chars)}]))"
-            slot = "(?:" + (f"{start}{_quoted(styles)}{end}|" if styles else "") + f"{_PAREN}|{plain})+"
-            own = "".join(a + b for x in styles for a, b in QUOTES[x])
-            # a dialect with more kinds of separators or quotes writes each of them with more bits
-            found.append(
-                {
-                    "dialect": f"{s}+{q}", "slot": slot, "whole": f"^[\\s\\p{{Z}}]*({_quoted(styles)})[\\s\\p{{Z}}]*(?:{_PAREN}[\\s\\p{{Z}}]*)*$" if styles else "",
-                    "needs": (f"[{_escape(chars)}]" if chars else ""), "needs_quote": f"[{_escape(own)}]" if own else "",
-                    "separator_bits": 3.0 if s == "all" else 1.0, "dialect_bits": 1.0 + (2.0 if q == "all" else 1.0 if q != "none" else 0.0) + (2.0 if s == "all" else 1.0 if s != "none" else 0.0),
-                }
-            )
-    return found
-
-
-def _clean(slot: Column, whole: Column) -> Column:
+def slot_pattern(separators: str, styles: list[str]) -> str:
+    """Regular expression whose matches are the slots of a field under a dialect; empty slots give none."""
+    chars = _escape(separators)
+    plain = f"[^{chars}]" if chars else "[\\s\\S]"
+    start = f"(?:(?<=^)|(?<=[\\s\\p{{Z}}{chars}]))"
+    end = f"(?=[\\s\\p{{Z}}]*(?:$|[(（]{'|[' + chars + ']' if chars else ''}))"
+    return "(?:" + (f"{start}{_quoted(styles)}{end}|" if styles else "") + f"{_PAREN}|{plain})+"
+
+
+def _sets(kinds: dict) -> dict:
+    """The named sets of a dialect's side: none, each kind, all."""
+    return {"none": []} | {k: [k] for k in kinds} | {"all": list(kinds)}
+
+
+def _present(field: Column, kinds: dict[str, str]) -> Column:
+    """Sets worth trying: none, the kinds that occur and, where several do, all."""
+    some = F.array_compact(F.array(*[F.when(field.rlike(f"[{_escape(chars)}]"), F.lit(kind)) for kind, chars in kinds.items()]))
+    return let(some, lambda s: F.concat(F.array(F.lit("none")), s, F.when(F.size(s) > 1, F.array(F.lit("all"))).otherwise(F.array().cast("array<string>"))))
+
+
+def _slots(field: Column, sep: Column, quote: Column) -> Column:
+    """Slots under the dialect (sep, quote): one branch with a constant, once compiled pattern each."""
+    out = None
+    for s, families in _sets(SEPARATORS).items():
+        for q, styles in _sets(QUOTES).items():
+            pattern = slot_pattern("".join(SEPARATORS[f] for f in families), styles)
+            here, found = (sep == s) & (quote == q), F.regexp_extract_all(field, F.lit(pattern), F.lit(0))
+            out = F.when(here, found) if out is None else out.when(here, found)
+    return out
+
+
+def _clean(slot: Column, quote: Column) -> Column:
     """Struct of a slot: its value without notes, outer blanks and enclosing quotes, and the stray characters left in it."""
-    quoted = F.when((whole != "") & F.rlike(slot, whole), F.call_function("regexp_extract", slot, whole, F.lit(1)))
-    inner = F.replace(F.replace(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit('""'), F.lit('"')), F.lit("''"), F.lit("'"))
-    bare = strip(F.regexp_replace(slot, f"[\\s\\p{{Z}}]*{_PAREN}", ""))
-    stray = F.when(quoted.isNotNull(), F.lit(0)).otherwise(F.length(F.regexp_replace(bare, f"[^{_escape(ALL_SEPARATORS + _QUOTE_CHARS)}()（）]", "")))
-    return F.struct(strip(F.coalesce(inner, bare)).alias("value"), stray.alias("stray"))
+    quoted = F.lit("")
+    for q, styles in _sets(QUOTES).items():
+        if styles:
+            quoted = F.when(quote == q, F.regexp_extract(slot, f"^[\\s\\p{{Z}}]*({_quoted(styles)})[\\s\\p{{Z}}]*(?:{_PAREN}[\\s\\p{{Z}}]*)*$", 1)).otherwise(quoted)
+
+    def cleaned(q: Column) -> Column:
+        inner = F.replace(F.replace(F.substring(q, F.lit(2), F.length(q) - 2), F.lit('""'), F.lit('"')), F.lit("''"), F.lit("'"))
+        bare = strip(F.regexp_replace(slot, f"[\\s\\p{{Z}}]*{_PAREN}", ""))
+        stray = F.length(F.regexp_replace(bare, f"[^{_escape(ALL_SEPARATORS + _QUOTE_CHARS)}()（）]", ""))
+        return F.when(q != "", F.struct(strip(inner).alias("value"), F.lit(0).alias("stray"))).otherwise(F.struct(bare.alias("value"), stray.alias("stray")))
+
+    return let(quoted, cleaned)
 
 
 def parse_fields(fields: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -82,7 +98,7 @@ def parse_fields(fields: DataFrame, counts: DataFrame | None = None) -> DataFram
     its own single value. Empty fields give an empty array. Long fields are parsed whole.
     """
     structural = f"[{_escape(ALL_SEPARATORS + _QUOTE_CHARS)}(（]"
-    simple, packed = fields.filter(~F.col("field").rlike(structural)), fields.filter(F.col("field").rlike(structural))
+    simple, packed = fields.filter(~F.col("field").rlike(structural)), spread(fields.filter(F.col("field").rlike(structural)), "field")
     own = strip(F.col("field"))
     single = simple.select("field", F.lit("none+none").alias("dialect"), F.lit(0.0).alias("bits"), F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>")).alias("parts"), F.lit(False).alias("has_note"))
     if counts is None:
@@ -90,14 +106,13 @@ def parse_fields(fields: DataFrame, counts: DataFrame | None = None) -> DataFram
     total = counts.agg(F.sum("n").alias("total"))
     known = counts.filter(F.col("code") != "").crossJoin(F.broadcast(total)).select("code", (F.log2(F.col("total") / F.col("n")) + 1).alias("known_bits"))
 
-    options = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in d.items()]) for d in dialects()])
-    fits = lambda d: ((d["needs"] == "") | F.rlike(F.col("field"), d["needs"])) & ((d["needs_quote"] == "") | F.rlike(F.col("field"), d["needs_quote"]))
-    tried = packed.select("field", F.explode(F.filter(options, fits)).alias("d"))
-    slots = F.transform(F.call_function("regexp_extract_all", F.col("field"), F.col("d.slot"), F.lit(0)), lambda s: _clean(s, F.col("d.whole")))
-    tried = tried.select(
-        "field", F.col("d.dialect").alias("dialect"), F.filter(slots, lambda x: (x["value"] != "") & ~x["value"].rlike(f"^[{_escape(_QUOTE_CHARS)}]+$")).alias("slots"),
-        (F.col("d.dialect_bits") + F.col("d.separator_bits") * F.size(slots)).alias("shape_bits"),
-    )
+    own_quotes = {q: "".join(a + b for a, b in pairs) for q, pairs in QUOTES.items()}
+    tried = packed.select("field", F.explode(_present(F.col("field"), SEPARATORS)).alias("sep"), _present(F.col("field"), own_quotes).alias("quotes")).select("field", "sep", F.explode("quotes").alias("quote"))
+    slots = F.filter(F.transform(_slots(F.col("field"), F.col("sep"), F.col("quote")), lambda s: _clean(s, F.col("quote"))), lambda x: (x["value"] != "") & ~x["value"].rlike(f"^[{_escape(_QUOTE_CHARS)}]+$"))
+    # a dialect with more kinds of separators or quotes needs more bits to name, and for each separator
+    named = lambda c: F.when(c == "all", 2.0).when(c == "none", 0.0).otherwise(1.0)
+    tried = tried.select("field", F.concat_ws("+", "sep", "quote").alias("dialect"), slots.alias("slots"), (1 + named(F.col("sep")) + named(F.col("quote"))).alias("name_bits"), F.when(F.col("sep") == "all", 3.0).otherwise(1.0).alias("sep_bits"))
+    tried = tried.select("field", "dialect", "slots", (F.col("name_bits") + F.col("sep_bits") * F.size("slots")).alias("shape_bits"))
     parts = tried.select("field", "dialect", "shape_bits", F.col("slots.value").alias("parts"), F.posexplode_outer("slots").alias("at", "slot"))
     unknown = NEW_VALUE_BITS + LETTER_BITS * F.length("slot.value")
     spelled = parts.withColumn("code", F.lower("slot.value")).join(known, "code", "left")

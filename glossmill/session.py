@@ -46,19 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+    """Cut the lineage: write the rows to a table in the shared folder and read them back.
 
-    An executor that is lost later costs nothing: the rows are read back from the
-    shared folder. Laziness ends here; use it where a result is read more than once
-    or a loop would grow the plan.
+    An executor that is lost later costs nothing, the plan behind the rows runs once (a
+    checkpoint() would run its last stage twice), and later reads prune columns. Laziness
+    ends here; use it where a result is read more than once or a loop would grow the plan.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that is written and read again."""
     return os.path.join(shared_dir(spark), f"{name}-{os.urandom(6).hex()}")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition rows that are few bytes but much work, so adaptive coalescing doesn't leave them to one core."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
