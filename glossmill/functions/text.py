@@ -83,7 +83,7 @@ def _composites() -> dict[str, str]:
     return found
 
 
-_CLASS_INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+_CLASS_INVISIBLE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in INVISIBLE) + "]"
 _CLASS_LIGATURES = "[\\x{fb00}-\\x{fb06}\\x{132}\\x{133}\\x{1c4}-\\x{1cc}\\x{1f1}-\\x{1f3}]"
 _WORD = "[\\p{IsLatin}\\p{IsGreek}\\p{IsCyrillic}\\p{M}]"
 _FOREIGN = "[\\p{IsGreek}\\p{IsCyrillic}]"
