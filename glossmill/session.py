@@ -66,3 +66,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition rows that are few bytes but much work, so adaptive coalescing doesn't leave them to one core."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan over all cores only where it has fewer partitions than that; large inputs keep their splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(3 * cores, *keys)
