@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from glossmill.functions.text import is_missing
 from glossmill.llm.canonical import closest_entries, mapped_fields, with_language
+from glossmill.llm.leaks import leaked
 from glossmill.llm.lookalike import consistent_values
 from glossmill.llm.overlap import cross_split_pairs
+from glossmill.llm.packing import pack
+from glossmill.llm.sentences import split_sentences
 from glossmill.llm.splits import update
 from glossmill.session import durable
 from glossmill.sources.tables import table
@@ -69,5 +72,27 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter("NOT exact").select("row_id", "field_name", "ref_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_assignment": p3_assignment, "p4_found": p4_found, "p4_consistent": p4_consistent, "p7_found": p7_found}
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Container and place of every document in containers of 2,048 tokens."""
+    return pack(table(spark, folder, "documents").select("doc_id", "text", "n_tokens"))
+
+
+def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and unused share."""
+    boxes = pack(table(spark, folder, "documents").select("doc_id", "text", "n_tokens"))
+    per = boxes.groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
+    return per.agg(F.count("*").alias("n_containers"), F.sum("t").alias("n_tokens"), (1 - F.sum("t") / (F.count("*") * 2048)).alias("unused_share"), F.max("t").alias("fullest"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a run of a held-out passage."""
+    return leaked(table(spark, folder, "documents"), table(spark, folder, "heldout_passages"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of every document."""
+    return split_sentences(table(spark, folder, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_assignment": p3_assignment, "p4_found": p4_found, "p4_consistent": p4_consistent, "p7_found": p7_found, "p8_containers": p8_containers, "p8_summary": p8_summary, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
