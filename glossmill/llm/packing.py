@@ -93,7 +93,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     full = pieces.filter(F.col("size") == capacity).select("doc_id", "piece_no", F.concat_ws("-", F.lit("f"), "doc_id", "piece_no").alias("container_id"), F.lit(0).alias("place"), F.lit(0).alias("start_token"), "size", F.concat_ws("-", F.lit("f"), F.pmod(F.xxhash64("doc_id"), F.lit(groups))).alias("step"))
     rest = pieces.filter(F.col("size") < capacity).withColumn("g", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(groups)).cast("int"))
 
-    def one(key, items: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         out = pack_group(items, capacity, step)
         name = f"g{key[0]}"
         return pd.DataFrame({"doc_id": out["doc_id"], "piece_no": out["piece_no"], "container_id": name + "-" + out["box"].astype(str), "place": out["place"], "start_token": out["start_token"], "size": out["size"], "step": name + "-" + out["step"].astype(str)})
