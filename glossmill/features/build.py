@@ -16,6 +16,7 @@ from glossmill.features.retrieval import baseline_columns, retrieval_columns, se
 from glossmill.functions.similarity import cognate_columns
 from glossmill.operators.checks import ConfigError, FeatureError
 from glossmill.operators.concepts import match_concepts
+from glossmill.session import durable
 
 PROTECTED = ("item_id", "L1", "L1_context", "L1_source_word", "en_target_word", "en_target_pos", "GLMM_score")
 
@@ -57,15 +58,12 @@ def _lexical(df: DataFrame, r: Resources) -> DataFrame:
 
 @group("mlm")
 def _mlm(df: DataFrame, r: Resources) -> DataFrame:
-    return language_group(df, r.corpus).drop("surprisal_masked", "surprisal_pll", "surprisal_subword_mean", "surprisal_subword_sum")
+    return language_group(df, r.corpus, columns=("mlm_log_prob", "mlm_rank", "mlm_entropy"))
 
 
 @group("surprisal")
 def _surprisal(df: DataFrame, r: Resources) -> DataFrame:
-    kept = [c for c in df.columns if c.startswith("mlm_")]
-    full = language_group(df.drop(*kept), r.corpus)
-    own = full.select(r.key, "surprisal_masked", "surprisal_pll", "surprisal_subword_mean", "surprisal_subword_sum")
-    return df.join(own, r.key)
+    return language_group(df, r.corpus, columns=("surprisal_masked", "surprisal_pll", "surprisal_subword_mean", "surprisal_subword_sum"))
 
 
 @group("retrieval")
@@ -100,18 +98,24 @@ def _baseline(df: DataFrame, r: Resources) -> DataFrame:
     return df.withColumns(baseline_columns(F.col("mlm_pred_word"), F.col("en_target_word"), F.col("en_target_clue")))
 
 
-def build(items: DataFrame, resources: Resources, groups: Sequence[str] | None = None, compute: str = "always") -> tuple[DataFrame, dict[str, list[str]]]:
+#: Groups that read the table more than once; it is written before them, so plans don't multiply.
+REUSING = ("frequency", "mlm", "surprisal", "cognate", "mlm_predicted_word")
+
+
+def build(items: DataFrame, resources: Resources, groups: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
     """Fold groups over the items in order; returns the wider table and the columns each group added.
 
-    compute: 'always', or 'missing' (groups all of whose columns are there are skipped by their catalog entry).
-    Unknown groups raise; a group that drops a protected column or adds nothing raises.
+    Row-local groups share one projection. Unknown groups raise; a group that drops a protected column or adds nothing raises.
     """
     catalog: dict[str, list[str]] = {}
     out = items
+    resources.corpus = durable(resources.corpus)
     for name in groups or list(REGISTRY):
         if name not in REGISTRY:
             raise ConfigError("unknown feature group", group=name, known=sorted(REGISTRY))
         before = out.columns
+        if name in REUSING and catalog:
+            out = durable(out)
         out = REGISTRY[name](out, resources)
         lost = [c for c in PROTECTED if c in before and c not in out.columns]
         catalog[name] = [c for c in out.columns if c not in before]

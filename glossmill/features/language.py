@@ -36,18 +36,19 @@ def built_in_scores(pairs: DataFrame, model: DataFrame, vocabulary: DataFrame) -
     return out.select("word", (-F.col("total")).alias("mlm_log_prob"), F.coalesce("rank", F.lit(1)).alias("mlm_rank"), F.col("mean").alias("mlm_entropy"), F.col("mean").alias("surprisal_masked"), F.col("total").alias("surprisal_pll"), F.col("mean").alias("surprisal_subword_mean"), F.col("total").alias("surprisal_subword_sum"))
 
 
-def language_group(items: DataFrame, corpus: DataFrame, scorer: Scorer | None = None, context: str = "L1_context", word: str = "en_target_word") -> DataFrame:
-    """Append the language-model columns; blank words score (0, 1, 0, 0, ...)."""
+def language_group(items: DataFrame, corpus: DataFrame, scorer: Scorer | None = None, context: str = "L1_context", word: str = "en_target_word", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """Append language-model columns; blank words score (0, 1, 0, 0, ...)."""
     keyed = items.withColumn("_w", F.lower(F.trim(F.coalesce(word, F.lit("")))))
     if scorer is None:
         scores = built_in_scores(keyed.select(F.col("_w").alias("word")), ngram_model(corpus), corpus)
-        out = keyed.join(scores.withColumnRenamed("word", "_w"), "_w", "left")
+        out = keyed.join(scores.select(F.col("word").alias("_w"), *columns), "_w", "left")
     else:
         pairs = keyed.select(F.col(context).alias("context"), F.col("_w").alias("word")).distinct()
         scores = pairs.mapInPandas(scorer, "context string, word string, " + ", ".join(f"{c} double" for c in COLUMNS))
-        out = keyed.join(scores.withColumnsRenamed({"context": context, "word": "_w"}), [context, "_w"], "left")
-    rest = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in COLUMNS if c != "mlm_rank"}
-    return out.withColumns(rest | {"mlm_rank": F.coalesce(F.col("mlm_rank").cast("int"), F.lit(1))}).drop("_w")
+        out = keyed.join(scores.select(F.col("context").alias(context), F.col("word").alias("_w"), *columns), [context, "_w"], "left")
+    rest = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns if c != "mlm_rank"}
+    rank = {"mlm_rank": F.coalesce(F.col("mlm_rank").cast("int"), F.lit(1))} if "mlm_rank" in columns else {}
+    return out.withColumns(rest | rank).drop("_w")
 
 
 def shortlist(items: DataFrame, vocabulary: DataFrame, key: str, clue: str, k: int = 50) -> DataFrame:
