@@ -26,6 +26,8 @@ QUOTES = {
 ALL_SEPARATORS = "".join(SEPARATORS.values())
 _QUOTE_CHARS = "".join(sorted({c for style in QUOTES.values() for pair in style for c in pair}))
 _PAREN = "[(（][^()（）]*[)）]"
+#: Fields with more quotes and parentheses than this, which no list of words has, are split at every separator.
+CROWDED = 500
 #: Bits for a structural character that a dialect doesn't explain, and for each letter of an unknown value.
 STRAY_BITS, LETTER_BITS, NEW_VALUE_BITS = 64.0, 5.0, 12.0
 
@@ -38,14 +40,15 @@ def _quoted(styles: list[str]) -> str:
     parts = []
     for style in styles:
         for a, b in QUOTES[style]:
-            parts.append(f"{_escape(a)}(?:[^{_escape(b)}]|{_escape(b)}{_escape(b)})*{_escape(b)}" if a == b else f"{a}[^{b}]*{b}")
+            parts.append(f"{_escape(a)}(?:[^{_escape(b)}]++|{_escape(b)}{_escape(b)})*+{_escape(b)}" if a == b else f"{a}[^{b}]*{b}")
     return "(?:" + "|".join(parts) + ")"
 
 
 def slot_pattern(separators: str, styles: list[str]) -> str:
     """Regular expression whose matches are the slots of a field under a dialect; empty slots give none."""
     chars = _escape(separators)
-    plain = f"[^{chars}]" if chars else "[\\s\\S]"
+    # runs are possessive: Java's matcher takes a stack frame for each turn of an alternation
+    plain = f"[^{chars}{_escape(_QUOTE_CHARS)}(（]++|[^{chars}]" if chars else f"[^{_escape(_QUOTE_CHARS)}(（]++|[\\s\\S]"
     start = f"(?:(?<=^)|(?<=[\\s\\p{{Z}}{chars}]))"
     end = f"(?=[\\s\\p{{Z}}]*(?:$|[(（]{'|[' + chars + ']' if chars else ''}))"
     return "(?:" + (f"{start}{_quoted(styles)}{end}|" if styles else "") + f"{_PAREN}|{plain})+"
@@ -56,9 +59,11 @@ def _sets(kinds: dict) -> dict:
     return {"none": []} | {k: [k] for k in kinds} | {"all": list(kinds)}
 
 
-def _present(field: Column, kinds: dict[str, str]) -> Column:
-    """Sets worth trying: none, the kinds that occur and, where several do, all."""
+def _present(field: Column, kinds: dict[str, str], calm_only: bool = False) -> Column:
+    """Sets worth trying: none, the kinds that occur and, where several do, all; with calm_only, none for crowded fields."""
+    crowded = F.length(F.regexp_replace(field, f"[^{_escape(_QUOTE_CHARS)}()（）]", "")) > CROWDED
     some = F.array_compact(F.array(*[F.when(field.rlike(f"[{_escape(chars)}]"), F.lit(kind)) for kind, chars in kinds.items()]))
+    some = F.when(crowded, F.array().cast("array<string>")).otherwise(some) if calm_only else some
     return let(some, lambda s: F.concat(F.array(F.lit("none")), s, F.when(F.size(s) > 1, F.array(F.lit("all"))).otherwise(F.array().cast("array<string>"))))
 
 
@@ -67,8 +72,11 @@ def _slots(field: Column, sep: Column, quote: Column) -> Column:
     out = None
     for s, families in _sets(SEPARATORS).items():
         for q, styles in _sets(QUOTES).items():
-            pattern = slot_pattern("".join(SEPARATORS[f] for f in families), styles)
-            here, found = (sep == s) & (quote == q), F.regexp_extract_all(field, F.lit(pattern), F.lit(0))
+            chars = "".join(SEPARATORS[f] for f in families)
+            here, found = (sep == s) & (quote == q), F.regexp_extract_all(field, F.lit(slot_pattern(chars, styles)), F.lit(0))
+            if q == "none":
+                crowded = F.length(F.regexp_replace(field, f"[^{_escape(_QUOTE_CHARS)}()（）]", "")) > CROWDED
+                found = F.when(crowded, F.regexp_extract_all(field, F.lit(f"[^{_escape(chars)}]+" if chars else "[\\s\\S]+"), F.lit(0))).otherwise(found)
             out = F.when(here, found) if out is None else out.when(here, found)
     return out
 
@@ -107,7 +115,7 @@ def parse_fields(fields: DataFrame, counts: DataFrame | None = None) -> DataFram
     known = counts.filter(F.col("code") != "").crossJoin(F.broadcast(total)).select("code", (F.log2(F.col("total") / F.col("n")) + 1).alias("known_bits"))
 
     own_quotes = {q: "".join(a + b for a, b in pairs) for q, pairs in QUOTES.items()}
-    tried = packed.select("field", F.explode(_present(F.col("field"), SEPARATORS)).alias("sep"), _present(F.col("field"), own_quotes).alias("quotes")).select("field", "sep", F.explode("quotes").alias("quote"))
+    tried = packed.select("field", F.explode(_present(F.col("field"), SEPARATORS)).alias("sep"), _present(F.col("field"), own_quotes, True).alias("quotes")).select("field", "sep", F.explode("quotes").alias("quote"))
     slots = F.filter(F.transform(_slots(F.col("field"), F.col("sep"), F.col("quote")), lambda s: _clean(s, F.col("quote"))), lambda x: (x["value"] != "") & ~x["value"].rlike(f"^[{_escape(_QUOTE_CHARS)}]+$"))
     # a dialect with more kinds of separators or quotes needs more bits to name, and for each separator
     named = lambda c: F.when(c == "all", 2.0).when(c == "none", 0.0).otherwise(1.0)
