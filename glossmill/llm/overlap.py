@@ -30,13 +30,13 @@ def bag(context: Column, language: Column) -> Column:
 
 
 def _keys(prefix: Column, size: Column, agree: float) -> Column:
-    """Index keys of a bag: pairs of its rare tokens with the position of the second, and single ones for long bags."""
+    """Index keys of a bag: pairs of its rare tokens with the position of the second, and single ones for long bags and bags of one token."""
     short = F.slice(prefix, F.lit(1), F.least(size, (size - F.ceil(size * agree - 1e-9) + 2).cast("int")))
     long = F.slice(prefix, F.lit(1), (size - F.ceil(size * agree - 1e-9) + 1).cast("int"))
     pairs = let(short, lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y, j: F.struct(F.xxhash64(x, y).alias("k"), (i + j + 2).alias("at"))))))
     singles = F.transform(long, lambda x, i: F.struct(F.xxhash64(x, F.lit(1)).alias("k"), (i + 1).alias("at")))
     none = F.array().cast("array<struct<k:bigint,at:int>>")
-    return F.concat(F.when(size <= PAIRED, pairs).otherwise(none), F.when(size >= SINGLE, singles).otherwise(none))
+    return F.concat(F.when(size <= PAIRED, pairs).otherwise(none), F.when((size >= SINGLE) | (size == 1), singles).otherwise(none))
 
 
 def near_pairs(bags: DataFrame, agree: float = 0.85) -> DataFrame:
