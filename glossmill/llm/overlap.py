@@ -21,6 +21,8 @@ from glossmill.session import durable, spread
 
 #: Bags up to PAIRED tokens are indexed by pairs, bags from SINGLE by single tokens; any two that may agree share a way.
 PAIRED, SINGLE = 200, 170
+#: Vocabularies up to this many tokens are broadcast (about 20 MB); larger ones are joined by a shuffle.
+BROADCAST_TOKENS = 200_000
 
 
 def bag(context: Column, language: Column) -> Column:
@@ -45,10 +47,16 @@ def near_pairs(bags: DataFrame, agree: float = 0.85) -> DataFrame:
     bags: id (unique), g (group key), language, tokens (numbered set), is_train, is_eval. Empty bags agree with
     nothing; a bag on both sides agrees with itself. Exact: no candidate is dropped but by a proven bound.
     """
-    tokens = bags.select("id", "language", F.explode("tokens").alias("token"))
-    freq = tokens.groupBy("language", "token").agg(F.count("*").alias("freq"))
-    ranked = tokens.join(freq, ["language", "token"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ordered"))
-    ready = durable(spread(bags.join(ranked, "id").select("id", "g", "is_train", "is_eval", F.col("ordered.token").alias("tokens")), "id").withColumn("size", F.size("tokens")))
+    spread_bags = durable(spread(bags, "id"))
+    freq = spread_bags.select("language", F.explode("tokens").alias("token")).groupBy("language", "token").agg(F.count("*").alias("freq"))
+    # numbers that follow global rarity: written once, so every reader sees the same ones
+    vocabulary = durable(freq.orderBy("freq", "language", "token").select("language", "token", F.monotonically_increasing_id().alias("rank")))
+    small = vocabulary.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    tokens = spread(spread_bags, "id").select("id", "g", "is_train", "is_eval", "language", F.explode("tokens").alias("token"))
+    # tokens stay with their bag: with a vocabulary of bounded size neither the join nor the aggregate moves them
+    ranked = tokens.join(F.broadcast(vocabulary) if small else vocabulary, ["language", "token"])
+    ready = ranked.groupBy("id").agg(F.first("g").alias("g"), F.first("is_train").alias("is_train"), F.first("is_eval").alias("is_eval"), F.array_sort(F.collect_list("rank")).alias("tokens"))
+    ready = durable(ready.withColumn("size", F.size("tokens")))
     posted = ready.select("id", "g", "is_train", "is_eval", "size", F.explode(_keys(F.col("tokens"), F.col("size"), agree)).alias("x")).select("id", "is_train", "is_eval", "size", F.xxhash64("g", "x.k").alias("k"), F.col("x.at").alias("at"))
     index = posted.filter("is_eval").select("k", F.col("id").alias("eval_id"), F.col("size").alias("es"), F.col("at").alias("ea"))
     probe = posted.filter("is_train").select("k", F.col("id").alias("train_id"), F.col("size").alias("ts"), F.col("at").alias("ta"))
