@@ -13,7 +13,9 @@ from glossmill.functions.similarity import bigram_set, cognate_columns, prefix_s
 from glossmill.functions.stats import bootstrap, kendall, pearson, wilcoxon
 from glossmill.functions.windows import average_ranks, benjamini_hochberg, fixed_bins, keep_first, percentile_ranks, top_k, zscores
 from glossmill.ml import folds, models
+from glossmill.functions.text import is_missing, strip
 from glossmill.operators import checks, concepts
+from glossmill.operators.fill import load_languages
 from glossmill.operators.source_words import entry_struct
 from glossmill.plans import analysis
 from glossmill.sources.files import union_common
@@ -227,6 +229,15 @@ def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return items, concepts.match_concepts(items, table(spark, folder, "cognet_edges"), "row_id", "L1", F.col("L1_source_word"), F.col("en_target_word"))
 
 
+def _whole_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Every item (row_id, l1, word, raw, target) and how it meets the graph; a missing L1 is the load's."""
+    items = table(spark, folder, "items").select("row_id", "load_id", "L1", "L1_source_word", "L1_context", "en_target_word")
+    stated = F.when(is_missing(F.col("L1")), F.col("load_l1")).otherwise(F.lower(strip(F.col("L1"))))
+    known = items.join(load_languages(items).withColumnRenamed("l1", "load_l1"), "load_id", "left").withColumn("language", stated).drop("L1", "load_l1")
+    entries = known.select("row_id", F.col("language").alias("l1"), entry_struct(F.col("L1_source_word"), F.col("L1_context"), F.col("language"))["word"].alias("word"), F.col("L1_source_word").alias("raw"), F.col("en_target_word").alias("target"))
+    return entries, concepts.match_concepts(entries, table(spark, folder, "cognet_edges"), "row_id", "l1", F.col("word"), F.col("target"), F.col("raw"))
+
+
 _N = "lower(trim(regexp_replace(coalesce({c},''), '\\s+', ' ', 'g'), ' '))"
 _FORMS = f"""
 WITH e AS (SELECT DISTINCT concept_id, lower(trim(lang_1,' ')) AS l1, word_1, lower(trim(lang_2,' ')) AS l2, word_2, translit_1, translit_2 FROM cognet_edges),
@@ -257,9 +268,9 @@ def concept_alternatives(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def concept_detail(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges behind each match."""
-    items, m = _graph(spark, folder)
-    return concepts.match_details(items, table(spark, folder, "cognet_edges"), m, "row_id", "L1", F.col("L1_source_word"), F.col("en_target_word"))
+    """Edges behind each match, of all items."""
+    items, m = _whole_graph(spark, folder)
+    return concepts.match_details(items, table(spark, folder, "cognet_edges"), m, "row_id", "l1", F.col("word"), F.col("target"), F.col("raw"))
 
 
 @query(_FORMS + "SELECT L1, count(*) AS n, round(avg(CAST(len(s) > 0 AS DOUBLE)), 6) AS source_rate, round(avg(CAST(len(t) > 0 AS DOUBLE)), 6) AS target_rate, sum(CAST(ex AS INT))::BIGINT AS n_exact, sum(CAST(len(sh) > 0 AS INT))::BIGINT AS n_shared FROM m GROUP BY L1")
@@ -276,6 +287,36 @@ def top_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return m.filter("source_found = 0").join(items, "row_id").groupBy(F.lower("L1_source_word").alias("word")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
+# The four above hold the entries that their SQL can follow; these hold all, so SQL can't express them.
+@query()
+def concept_enrich_all(spark: SparkSession, folder: str) -> DataFrame:
+    """How source and target words of all items meet in the concept graph."""
+    return _whole_graph(spark, folder)[1].select("row_id", "source_found", "target_found", F.size("source_concepts").alias("n_source"), F.size("target_concepts").alias("n_target"), F.size("shared").alias("n_shared"), "best", "match_type")
+
+
+@query()
+def concept_alternatives_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Other target words of the source concepts, of all items."""
+    items, m = _whole_graph(spark, folder)
+    full = m.join(items.select("row_id", concepts.lookup_key(F.col("target")).alias("t")), "row_id")
+    return concepts.alternatives(full, table(spark, folder, "cognet_edges"), "row_id", F.col("t")).select("row_id", F.size("words").cast("bigint").alias("n_words"), "text")
+
+
+@query()
+def enrich_coverage_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Coverage of the graph per L1 over all items."""
+    items, m = _whole_graph(spark, folder)
+    return rounded(concepts.coverage(m.join(items.select("row_id", "l1"), "row_id"), ["l1"]))
+
+
+@query()
+def top_unmatched_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty most frequent stated source words the graph lacks, of all items."""
+    items, m = _whole_graph(spark, folder)
+    lacking = m.filter("source_found = 0").join(items.filter(~is_missing(F.col("raw"))), "row_id")
+    return lacking.groupBy(concepts.lookup_key(F.col("word")).alias("word")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
+
+
 @query()
 def source_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Source-word entries taken apart: word, exclusions, alternatives."""
