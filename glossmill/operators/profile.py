@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.functions.text import is_missing
+
 
 @dataclass(frozen=True)
 class Check:
@@ -26,12 +28,14 @@ class Check:
 
 @dataclass(frozen=True)
 class ColumnRule:
-    """What counts as a valid value of a column; `exact` asks for exact distinct counts."""
+    """What counts as a valid value of a column: bounds of numbers, allowed values or a pattern of text; `exact` asks for exact distinct counts."""
 
     column: str
     low: float | None = None
     high: float | None = None
     exact: bool = False
+    allowed: tuple[str, ...] = ()
+    pattern: str | None = None
 
 
 def _value(df: DataFrame, column: str) -> Column:
@@ -44,8 +48,10 @@ def states(rows: DataFrame, partition: str, columns: Sequence[str], rules: Seque
     """Mergeable state of every column in every partition, from one scan.
 
     One row per (partition, column_name): n, non_null, total, squares, low, high (numbers), in_range,
-    in_range_total, longest (text length), sketch (distinct values; HyperLogLog, mergeable). NaN counts as NULL;
-    numbers beyond the rule's bounds count as violations. Empty input, empty result.
+    in_range_total, longest (text length), sketch (distinct values; HyperLogLog, mergeable), first and last (text),
+    placeholders (text that stands for a missing value; NULL for other types), broken. NaN counts as NULL; broken
+    counts numbers beyond the rule's bounds and text that is a placeholder or neither allowed nor of the pattern, and
+    is NULL where the column has no such rule. Empty input, empty result.
     """
     bounds = {r.column: r for r in rules}
     types = dict(rows.dtypes)
@@ -61,10 +67,23 @@ def states(rows: DataFrame, partition: str, columns: Sequence[str], rules: Seque
         if rule.high is not None:
             inside = inside & (number <= rule.high)
         kept = F.when(inside & number.isNotNull(), number)
+        none = F.lit(None).cast("bigint")
+        text = v if types[c] == "string" else F.lit(None).cast("string")
+        placeholder = v.isNotNull() & is_missing(v) if types[c] == "string" else F.lit(False)
+        wrong = placeholder
+        if rule.allowed:
+            wrong = wrong | ~v.isin(*rule.allowed)
+        if rule.pattern is not None:
+            wrong = wrong | ~v.rlike(rule.pattern)
+        if types[c] == "string":
+            broken = F.count_if(v.isNotNull() & wrong) if rule.allowed or rule.pattern is not None else none
+        else:
+            broken = F.count_if(number.isNotNull() & ~inside) if rule.low is not None or rule.high is not None else none
         packed.append(
             F.struct(
                 F.count("*").alias("n"), F.count(v).alias("non_null"), F.sum(number).alias("total"), F.sum(number * number).alias("squares"), F.min(number).alias("low"), F.max(number).alias("high"),
                 F.count(kept).alias("in_range"), F.sum(kept).alias("in_range_total"), F.max(F.length(v.cast("string"))).alias("longest"), F.hll_sketch_agg(v.cast("string"), F.lit(12)).alias("sketch"),
+                F.min(text).alias("first"), F.max(text).alias("last"), (F.count_if(placeholder) if types[c] == "string" else none).alias("placeholders"), broken.alias("broken"),
             ).alias(f"_s_{c}")
         )
     wide = rows.groupBy(partition).agg(*packed)
@@ -76,6 +95,7 @@ def merge_states(parts: DataFrame, into: Sequence[str]) -> DataFrame:
     return parts.groupBy(*into, "column_name").agg(
         F.sum("n").alias("n"), F.sum("non_null").alias("non_null"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.sum("in_range").alias("in_range"), F.sum("in_range_total").alias("in_range_total"), F.max("longest").alias("longest"), F.hll_union_agg("sketch").alias("sketch"),
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("placeholders").alias("placeholders"), F.sum("broken").alias("broken"),
     )
 
 
@@ -86,7 +106,7 @@ def exact_distinct(rows: DataFrame, partition: str, columns: Sequence[str]) -> D
 
 
 def metrics(rows: DataFrame, partition: str, columns: Sequence[str], rules: Sequence[ColumnRule] = ()) -> DataFrame:
-    """States with their derived metrics: null_rate, mean, deviation, mean_in_range, distinct_values, violations."""
+    """States with their derived metrics: null_rate, mean, deviation, mean_in_range, distinct_values, violations (NULL where no rule says what is valid)."""
     s = states(rows, partition, columns, rules)
     exact = [r.column for r in rules if r.exact and r.column in columns]
     out = s
@@ -99,7 +119,8 @@ def metrics(rows: DataFrame, partition: str, columns: Sequence[str], rules: Sequ
     return out.select(
         partition, "column_name", "n", "non_null", ((F.col("n") - F.col("non_null")) / F.col("n")).alias("null_rate"), distinct.alias("distinct_values"), "low", "high",
         F.when(some, F.col("total") / F.col("non_null")).alias("mean"), F.when(some, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("deviation"),
-        F.when(F.col("in_range") > 0, F.col("in_range_total") / F.col("in_range")).alias("mean_in_range"), F.when(F.col("total").isNotNull(), F.col("non_null") - F.col("in_range")).otherwise(0).alias("violations"), "longest",
+        F.when(F.col("in_range") > 0, F.col("in_range_total") / F.col("in_range")).alias("mean_in_range"), F.col("broken").alias("violations"), "longest",
+        "first", "last", "placeholders",
     )
 
 
@@ -116,18 +137,38 @@ def violations(profile: DataFrame, checks: Sequence[Check], partition: str) -> D
     return profile.select(partition, "column_name", F.explode(failed).alias("issue"))
 
 
-def control_limits(profile: DataFrame, partition: str, series: Sequence[str], order: str, metric: str, width: float = 3.0, history: int = 8, least: int = 3) -> DataFrame:
-    """Anomalies of a metric against its own history: outside mean ± width · deviation of up to `history` earlier loads.
+#: Metrics of a profile that have control limits.
+METRICS = ("n", "non_null", "null_rate", "placeholders", "distinct_values", "low", "high", "mean", "deviation", "mean_in_range", "violations", "longest")
+
+
+def control_limits(profile: DataFrame, partition: str, series: Sequence[str], order: str, metric: str | Sequence[str], width: float = 3.0, history: int = 8, least: int = 3) -> DataFrame:
+    """Anomalies of one or more metrics against their own history: outside mean ± width · deviation of up to `history` earlier loads.
 
     Series are (group, column) sequences of partitions, one row each, so windows hold partitions, not rows of data.
+    A metric that is NULL has no anomaly and no part in the history.
     """
-    w = Window.partitionBy(*series, "column_name").orderBy(order, partition).rowsBetween(-history, -1)
-    past = profile.withColumn("past_n", F.count(metric).over(w)).withColumn("center", F.avg(metric).over(w)).withColumn("spread", F.stddev_pop(metric).over(w))
-    out = F.abs(F.col(metric) - F.col("center")) > width * F.greatest(F.col("spread"), F.lit(1e-9))
-    return past.withColumn("anomaly", F.when(F.col("past_n") >= least, out)).withColumn("metric", F.lit(metric)).withColumnRenamed(metric, "value").select(partition, "column_name", "metric", "value", "past_n", "center", "spread", "anomaly")
+    names = [metric] if isinstance(metric, str) else list(metric)
+    kept = dict.fromkeys([partition, *series, order, "column_name"])
+    long = profile.select(*kept, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])).alias("_m")).select(*kept, "_m.metric", "_m.value")
+    w = Window.partitionBy(*series, "column_name", "metric").orderBy(order, partition).rowsBetween(-history, -1)
+    past = long.withColumn("past_n", F.count("value").over(w)).withColumn("center", F.avg("value").over(w)).withColumn("spread", F.stddev_pop("value").over(w))
+    least_spread = 1e-9 * F.greatest(F.lit(1.0), F.abs("center"))  # sums of another order are no anomaly
+    out = F.abs(F.col("value") - F.col("center")) > width * F.greatest(F.col("spread"), least_spread)
+    return past.withColumn("anomaly", F.when(F.col("past_n") >= least, out)).select(partition, "column_name", "metric", "value", "past_n", "center", "spread", "anomaly")
 
 
 ITEM_RULES = (ColumnRule("GLMM_score", -6.0, 6.0, exact=True), ColumnRule("item_id", 100_000, 99_999_999, exact=True))
+# What the text columns of items may hold. Columns in neither list have no rule.
+TEXT_RULES = (
+    ColumnRule("L1", allowed=("es", "de", "cn")),
+    ColumnRule("split", allowed=("train", "dev", "test")),
+    ColumnRule("en_target_pos", allowed=("NOUN", "VERB", "ADJ", "ADV", "PRON", "PROPN", "DET", "ADP", "CCONJ", "SCONJ", "NUM", "INTJ", "AUX", "PART", "SYM", "X")),
+    ColumnRule("L1_context", pattern="\\p{L}"),
+    ColumnRule("L1_source_word", pattern="\\p{L}"),
+    ColumnRule("en_target_word", pattern="\\p{L}"),
+    ColumnRule("en_target_clue", pattern="^\\p{L}[\\p{L}_ '-]*$"),
+    ColumnRule("source", pattern="^[a-z]+_[0-9]+$"),
+)
 ITEM_CHECKS = (
     Check("GLMM_score", "nulls", "null_rate > 0.1", "split in ('train', 'dev')"),
     Check("GLMM_score", "range", "violations > 0", "split in ('train', 'dev')"),
@@ -142,7 +183,7 @@ ITEM_CHECKS = (
 def profile_items(items: DataFrame, loads: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Profile of items columns per load, with split and the base load's metrics."""
     wanted = [c for c in items.columns if c not in ("load_id",)] if columns is None else list(columns)
-    return with_base(metrics(items, "load_id", wanted, ITEM_RULES), loads, "load_id", "base_load_id", ["split", "delivered_at"])
+    return with_base(metrics(items, "load_id", wanted, ITEM_RULES + TEXT_RULES), loads, "load_id", "base_load_id", ["split", "delivered_at"])
 
 
 def offending_loads(items: DataFrame, loads: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossmill.operators.delimited import split_values
 from glossmill.operators.fill import fill_items
-from glossmill.operators.profile import control_limits, offending_loads, profile_items
+from glossmill.operators.profile import METRICS, control_limits, offending_loads, profile_items
 from glossmill.sources.tables import table
 
 
@@ -39,10 +39,10 @@ def p6_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_anomalies(spark: SparkSession, folder: str) -> DataFrame:
-    """Null rate of every column of every load against the control limits of its earlier loads."""
+    """Every metric of every column of every load against the control limits of its earlier loads."""
     profile = profile_items(table(spark, folder, "items"), table(spark, folder, "loads"))
     bases = table(spark, folder, "loads").select("load_id", "base_load_id")
-    return control_limits(profile.join(bases, "load_id"), "load_id", ["base_load_id"], "delivered_at", "null_rate")
+    return control_limits(profile.join(bases, "load_id"), "load_id", ["base_load_id"], "delivered_at", METRICS)
 
 
 QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_profile": p6_profile, "p6_anomalies": p6_anomalies}
