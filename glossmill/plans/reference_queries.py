@@ -105,6 +105,12 @@ def edit_distance(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).filter("a rlike '^[a-z ]+$' AND b rlike '^[a-z ]+$'").select("a", "b", F.levenshtein("a", "b").alias("edits"))
 
 
+@query()
+def edit_distance_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Unit-cost edit distance of all word pairs, in characters (the SQL's engine counts bytes)."""
+    return _pairs(spark, folder).select("a", "b", F.levenshtein("a", "b").alias("edits"))
+
+
 @query()
 def cognate_similarity(spark: SparkSession, folder: str) -> DataFrame:
     """Alignment and cognate scores of the word pairs (weighted edits have no SQL form)."""
@@ -153,6 +159,15 @@ def baseline_meta(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(items.select("row_id", *[c.alias(n) for n, c in cols.items()]))
 
 
+@query()
+def baseline_predicted(spark: SparkSession, folder: str) -> DataFrame:
+    """Prediction features of every record with the built-in predictor's word; records without one have length 0."""
+    items = table(spark, folder, "items").select("row_id", "en_target_word", "en_target_clue")
+    guessed = items.join(predicted_words(items, token_frequencies(table(spark, folder, "documents")), "row_id", "en_target_clue").select("row_id", "mlm_pred_word"), "row_id", "left")
+    cols = baseline_columns(F.col("mlm_pred_word"), F.col("en_target_word"), F.col("en_target_clue"))
+    return rounded(guessed.select("row_id", "mlm_pred_word", *[c.alias(n) for n, c in cols.items()]))
+
+
 @query("""
 WITH c AS (SELECT DISTINCT en_target_clue AS clue FROM items WHERE regexp_full_match(en_target_clue, '[a-z]+_+')), v AS (SELECT DISTINCT word FROM lexicon WHERE regexp_full_match(word, '[a-z]+'))
 SELECT clue, count(*) AS n_words, min(word) AS first_word FROM c JOIN v ON substr(v.word,1,1) = substr(c.clue,1,1) AND length(v.word) = length(c.clue) AND v.word LIKE c.clue GROUP BY clue
@@ -164,6 +179,20 @@ def clue_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return c.join(v, ["f", "n"]).filter(clue_matches(F.col("word"), F.col("clue"))).groupBy("clue").agg(F.count("*").alias("n_words"), F.min("word").alias("first_word"))
 
 
+@query()
+def clue_candidates_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Lexicon words that fit each clue, whatever it shows: the length joins, and the first letter where it is shown; a blank clue fits all."""
+    c = table(spark, folder, "items").filter("en_target_clue IS NOT NULL").select(F.col("en_target_clue").alias("clue")).distinct().withColumn("t", F.lower(F.trim("clue")))
+    c = c.withColumns({"f": F.substring("t", 1, 1), "n": F.length("t")})
+    v = table(spark, folder, "lexicon").filter("word <> ''").select("word").distinct().withColumn("n", F.length(F.lower("word")))
+    fits = clue_matches(F.col("word"), F.col("clue"))
+    shown = c.filter("f NOT IN ('_', '')").join(v.withColumn("f", F.substring(F.lower("word"), 1, 1)), ["f", "n"]).filter(fits).select("clue", "word")
+    hidden = c.filter("f = '_'").join(v, "n").filter(fits).select("clue", "word")
+    found = shown.unionByName(hidden).groupBy("clue").agg(F.count("*").alias("n_words"), F.min("word").alias("first_word"))
+    everything = F.broadcast(v.agg(F.count("*").alias("n_words"), F.min("word").alias("first_word")))  # one row
+    return found.unionByName(c.filter("f = ''").crossJoin(everything).filter("n_words > 0").select("clue", "n_words", "first_word"))
+
+
 @query("""
 WITH c AS (SELECT lower(word) AS word, part_of_speech AS pos, count(*) AS n FROM lexicon WHERE word <> '' AND part_of_speech IS NOT NULL GROUP BY ALL)
 SELECT word, sum(n)::BIGINT AS n, min(pos) FILTER (n = m) AS pos FROM (SELECT *, max(n) OVER (PARTITION BY word) AS m FROM c) GROUP BY word
@@ -202,6 +231,15 @@ def lexicon_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.select("row_id", F.col("subtlex_subtl_wf").alias("subtlex_wf"), "subtlex_zipf", "subtlex_found", "subtlex_pos_match"))
 
 
+@query()
+def lexicon_lookup_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Lexicon values of every record by word and normalized tag, falling back to the word."""
+    lex = table(spark, folder, "lexicon").select(clean_key(F.col("word")).alias("word"), universal_tag(F.col("part_of_speech")).alias("tag"), "zipf", "subtl_wf")
+    items = table(spark, folder, "items").select("row_id", "en_target_word", "en_target_pos")
+    out = lookup_with_fallback(items, lex, "en_target_word", "en_target_pos", ["subtl_wf", "zipf"], [-F.coalesce("subtl_wf", F.lit(-1.0)), -F.coalesce("zipf", F.lit(-1.0)), F.col("tag")], "subtlex")
+    return rounded(out.select("row_id", F.col("subtlex_subtl_wf").alias("subtlex_wf"), "subtlex_zipf", "subtlex_found", "subtlex_pos_match"))
+
+
 @query("""
 SELECT word, part_of_speech, zipf, CASE WHEN zipf IS NULL THEN NULL ELSE round((rank() OVER (PARTITION BY part_of_speech ORDER BY zipf NULLS LAST) + (count(*) OVER (PARTITION BY part_of_speech, zipf) - 1) / 2.0) / count(zipf) OVER (PARTITION BY part_of_speech), 6) END AS zipf_percentile FROM lexicon WHERE part_of_speech IS NOT NULL
 """)
