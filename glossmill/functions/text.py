@@ -173,7 +173,7 @@ def is_missing(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove outer blanks of any kind, line breaks and tabs."""
-    return F.regexp_replace(c, "^[\\s\\p{Z}\\x{feff}]+|[\\s\\p{Z}\\x{feff}]+$", "")
+    return F.regexp_replace(c, "^[\\s\\p{Z}\\x{feff}]++|(?<![\\s\\p{Z}\\x{feff}])[\\s\\p{Z}\\x{feff}]++$", "")
 
 
 def occurrences(tokens: Column) -> Column:

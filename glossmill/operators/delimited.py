@@ -25,9 +25,8 @@ QUOTES = {
 }
 ALL_SEPARATORS = "".join(SEPARATORS.values())
 _QUOTE_CHARS = "".join(sorted({c for style in QUOTES.values() for pair in style for c in pair}))
-_PAREN = "[(（][^()（）]*[)）]"
-#: Fields with more quotes and parentheses than this, which no list of words has, are split at every separator.
-CROWDED = 500
+_PAREN = "[(（][^()（）]*+[)）]"
+_NOTE = f"(?<![\\s\\p{{Z}}])[\\s\\p{{Z}}]*+{_PAREN}"
 #: Bits for a structural character that a dialect doesn't explain, and for each letter of an unknown value.
 STRAY_BITS, LETTER_BITS, NEW_VALUE_BITS = 64.0, 5.0, 12.0
 
@@ -40,18 +39,21 @@ def _quoted(styles: list[str]) -> str:
     parts = []
     for style in styles:
         for a, b in QUOTES[style]:
-            parts.append(f"{_escape(a)}(?:[^{_escape(b)}]++|{_escape(b)}{_escape(b)})*+{_escape(b)}" if a == b else f"{a}[^{b}]*{b}")
+            parts.append(f"{_escape(a)}(?:[^{_escape(b)}]++|{_escape(b)}{_escape(b)})*+{_escape(b)}" if a == b else f"{a}[^{a}{b}]*+{b}")
     return "(?:" + "|".join(parts) + ")"
 
 
 def slot_pattern(separators: str, styles: list[str]) -> str:
-    """Regular expression whose matches are the slots of a field under a dialect; empty slots give none."""
+    """Regular expression whose matches are the slots of a field under a dialect; empty slots give none.
+
+    Every repetition is possessive: Java's matcher then loops, where it else takes a stack frame for each turn,
+    so fields of any length and any number of quotes are matched, in linear time.
+    """
     chars = _escape(separators)
-    # runs are possessive: Java's matcher takes a stack frame for each turn of an alternation
     plain = f"[^{chars}{_escape(_QUOTE_CHARS)}(（]++|[^{chars}]" if chars else f"[^{_escape(_QUOTE_CHARS)}(（]++|[\\s\\S]"
     start = f"(?:(?<=^)|(?<=[\\s\\p{{Z}}{chars}]))"
     end = f"(?=[\\s\\p{{Z}}]*(?:$|[(（]{'|[' + chars + ']' if chars else ''}))"
-    return "(?:" + (f"{start}{_quoted(styles)}{end}|" if styles else "") + f"{_PAREN}|{plain})+"
+    return "(?:" + (f"{start}{_quoted(styles)}{end}|" if styles else "") + f"{_PAREN}|{plain})++"
 
 
 def _sets(kinds: dict) -> dict:
@@ -59,11 +61,9 @@ def _sets(kinds: dict) -> dict:
     return {"none": []} | {k: [k] for k in kinds} | {"all": list(kinds)}
 
 
-def _present(field: Column, kinds: dict[str, str], calm_only: bool = False) -> Column:
-    """Sets worth trying: none, the kinds that occur and, where several do, all; with calm_only, none for crowded fields."""
-    crowded = F.length(F.regexp_replace(field, f"[^{_escape(_QUOTE_CHARS)}()（）]", "")) > CROWDED
+def _present(field: Column, kinds: dict[str, str]) -> Column:
+    """Sets worth trying: none, the kinds that occur and, where several do, all."""
     some = F.array_compact(F.array(*[F.when(field.rlike(f"[{_escape(chars)}]"), F.lit(kind)) for kind, chars in kinds.items()]))
-    some = F.when(crowded, F.array().cast("array<string>")).otherwise(some) if calm_only else some
     return let(some, lambda s: F.concat(F.array(F.lit("none")), s, F.when(F.size(s) > 1, F.array(F.lit("all"))).otherwise(F.array().cast("array<string>"))))
 
 
@@ -74,9 +74,6 @@ def _slots(field: Column, sep: Column, quote: Column) -> Column:
         for q, styles in _sets(QUOTES).items():
             chars = "".join(SEPARATORS[f] for f in families)
             here, found = (sep == s) & (quote == q), F.regexp_extract_all(field, F.lit(slot_pattern(chars, styles)), F.lit(0))
-            if q == "none":
-                crowded = F.length(F.regexp_replace(field, f"[^{_escape(_QUOTE_CHARS)}()（）]", "")) > CROWDED
-                found = F.when(crowded, F.regexp_extract_all(field, F.lit(f"[^{_escape(chars)}]+" if chars else "[\\s\\S]+"), F.lit(0))).otherwise(found)
             out = F.when(here, found) if out is None else out.when(here, found)
     return out
 
@@ -86,11 +83,11 @@ def _clean(slot: Column, quote: Column) -> Column:
     quoted = F.lit("")
     for q, styles in _sets(QUOTES).items():
         if styles:
-            quoted = F.when(quote == q, F.regexp_extract(slot, f"^[\\s\\p{{Z}}]*({_quoted(styles)})[\\s\\p{{Z}}]*(?:{_PAREN}[\\s\\p{{Z}}]*)*$", 1)).otherwise(quoted)
+            quoted = F.when(quote == q, F.regexp_extract(slot, f"^[\\s\\p{{Z}}]*+({_quoted(styles)})[\\s\\p{{Z}}]*+(?:{_PAREN}[\\s\\p{{Z}}]*+)*+$", 1)).otherwise(quoted)
 
     def cleaned(q: Column) -> Column:
         inner = F.replace(F.replace(F.substring(q, F.lit(2), F.length(q) - 2), F.lit('""'), F.lit('"')), F.lit("''"), F.lit("'"))
-        bare = strip(F.regexp_replace(slot, f"[\\s\\p{{Z}}]*{_PAREN}", ""))
+        bare = strip(F.regexp_replace(slot, _NOTE, ""))
         stray = F.length(F.regexp_replace(bare, f"[^{_escape(ALL_SEPARATORS + _QUOTE_CHARS)}()（）]", ""))
         return F.when(q != "", F.struct(strip(inner).alias("value"), F.lit(0).alias("stray"))).otherwise(F.struct(bare.alias("value"), stray.alias("stray")))
 
@@ -115,19 +112,22 @@ def parse_fields(fields: DataFrame, counts: DataFrame | None = None) -> DataFram
     known = counts.filter(F.col("code") != "").crossJoin(F.broadcast(total)).select("code", (F.log2(F.col("total") / F.col("n")) + 1).alias("known_bits"))
 
     own_quotes = {q: "".join(a + b for a, b in pairs) for q, pairs in QUOTES.items()}
-    tried = packed.select("field", F.explode(_present(F.col("field"), SEPARATORS)).alias("sep"), _present(F.col("field"), own_quotes, True).alias("quotes")).select("field", "sep", F.explode("quotes").alias("quote"))
+    # fields travel by their digest: a long one would else be repeated beside each of its own values
+    packed = packed.withColumn("fid", F.md5("field"))
+    tried = packed.select("fid", "field", F.explode(_present(F.col("field"), SEPARATORS)).alias("sep"), _present(F.col("field"), own_quotes).alias("quotes")).select("fid", "field", "sep", F.explode("quotes").alias("quote"))
     slots = F.filter(F.transform(_slots(F.col("field"), F.col("sep"), F.col("quote")), lambda s: _clean(s, F.col("quote"))), lambda x: (x["value"] != "") & ~x["value"].rlike(f"^[{_escape(_QUOTE_CHARS)}]+$"))
     # a dialect with more kinds of separators or quotes needs more bits to name, and for each separator
     named = lambda c: F.when(c == "all", 2.0).when(c == "none", 0.0).otherwise(1.0)
-    tried = tried.select("field", F.concat_ws("+", "sep", "quote").alias("dialect"), slots.alias("slots"), (1 + named(F.col("sep")) + named(F.col("quote"))).alias("name_bits"), F.when(F.col("sep") == "all", 3.0).otherwise(1.0).alias("sep_bits"))
-    tried = tried.select("field", "dialect", "slots", (F.col("name_bits") + F.col("sep_bits") * F.size("slots")).alias("shape_bits"))
-    parts = tried.select("field", "dialect", "shape_bits", F.col("slots.value").alias("parts"), F.posexplode_outer("slots").alias("at", "slot"))
+    tried = tried.select("fid", F.concat_ws("+", "sep", "quote").alias("dialect"), slots.alias("slots"), (1 + named(F.col("sep")) + named(F.col("quote"))).alias("name_bits"), F.when(F.col("sep") == "all", 3.0).otherwise(1.0).alias("sep_bits"))
+    tried = tried.select("fid", "dialect", "slots", (F.col("name_bits") + F.col("sep_bits") * F.size("slots")).alias("shape_bits"))
+    values = tried.select("fid", "dialect", "shape_bits", F.posexplode_outer("slots").alias("at", "slot"))
     unknown = NEW_VALUE_BITS + LETTER_BITS * F.length("slot.value")
-    spelled = parts.withColumn("code", F.lower("slot.value")).join(known, "code", "left")
+    spelled = values.withColumn("code", F.lower("slot.value")).join(known, "code", "left")
     bits = F.coalesce(F.least(F.col("known_bits"), unknown), unknown, F.lit(0.0)) + STRAY_BITS * F.coalesce(F.col("slot.stray"), F.lit(0))
-    scored = spelled.groupBy("field", "dialect").agg(F.round(F.sum(bits) + F.first("shape_bits"), 6).alias("bits"), F.first("parts").alias("parts"))
-    best = scored.groupBy("field").agg(F.min_by(F.struct("dialect", "bits", "parts"), F.struct("bits", "dialect")).alias("b"))
-    return single.unionByName(best.select("field", "b.dialect", "b.bits", "b.parts", F.col("field").rlike(_PAREN).alias("has_note")))
+    placed = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.col("slot.value").alias("value")))))
+    scored = spelled.groupBy("fid", "dialect").agg(F.round(F.sum(bits) + F.first("shape_bits"), 6).alias("bits"), placed.alias("parts"))
+    best = scored.groupBy("fid").agg(F.min_by(F.struct("dialect", "bits", "parts"), F.struct("bits", "dialect")).alias("b"))
+    return single.unionByName(packed.join(best, "fid").select("field", "b.dialect", "b.bits", F.col("b.parts.value").alias("parts"), F.col("field").rlike(_PAREN).alias("has_note")))
 
 
 def distinct_fields(rows: DataFrame, column: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 1. Mine functional dependencies: over complete records, how surely does each candidate
    determinant fix the target (share of records that agree with their determinant's majority)?
+   All candidates of all targets are counted in one scan and one aggregate.
 2. Verified ones give a dictionary determinant value -> target value.
-3. Missing values are left-joined to the dictionary of the surest verified dependency; what it
-   leaves open takes the majority of a fallback group. Provenance says which.
+3. Missing values are left-joined to the dictionaries of all verified dependencies in order of
+   preference; what they leave open takes the majority of a fallback group. Provenance says which.
 
 Every count is a partially aggregated groupBy, so a determinant value that holds a third of all
 rows is combined map-side; dictionary joins are left to adaptive execution, which broadcasts a
@@ -13,7 +14,8 @@ dictionary only at its measured size and splits skewed partitions otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,63 +51,116 @@ def majority(rows: DataFrame, determinants: Sequence[str], target: str) -> DataF
     return top.select(*determinants, F.col("m.v").alias(target), "n", "agree")
 
 
-def mine_dependencies(complete: DataFrame, determinants: Sequence[str], target: str) -> DataFrame:
-    """Support and confidence of each `determinant -> target` over complete records.
+@dataclass(frozen=True)
+class Target:
+    """A column to fill: `determinants` in order of preference, `fallback` groups, and how its stated values read.
 
-    Only determinant values with at least two records count: one record agrees with itself.
-    Returns determinant, n, confidence (NULL without support).
+    raw: what is counted (default: the column). understood: maps the distinct raw values, a table with the one
+    column raw, to a table (raw, stated); raw values it leaves out count as not stated. valid: per determinant,
+    which of its values identify something (others determine nothing).
     """
-    out = None
-    for d in determinants:
-        m = majority(complete.filter(F.col(d).isNotNull()), [d], target).filter("n >= 2")
-        one = m.agg(F.lit(d).alias("determinant"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("agree") / F.sum("n")).alias("confidence"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def fill_from_dependencies(rows: DataFrame, column: str, stated: Column, determinants: Sequence[str], fallback: Sequence[str], keys: Sequence[str], verified: float = 0.9, pure: float = 0.6, valid: dict[str, Column] | None = None) -> DataFrame:
-    """Missing values of `column` with a fill value and its provenance.
-
-    stated: what a record states for the column in canonical form, NULL if missing or not understood.
-    valid: per determinant, which of its values identify something (others determine nothing).
-    A dictionary entry must hold the share `pure` of its records. Returns keys, fill_value,
-    provenance ('dependency:<determinant>', 'group:<fallback>', 'none') for rows whose value is
-    missing by is_missing(); no row is dropped, fill_value is NULL for 'none'. Empty input, empty result.
+
+    column: str
+    determinants: Sequence[str]
+    fallback: Sequence[str] = ()
+    raw: Column | None = None
+    understood: Callable[[DataFrame], DataFrame] | None = None
+    valid: Mapping[str, Column] = field(default_factory=dict)
+
+    def of(self, determinant: str) -> Column:
+        """The determinant's value where it identifies something, as text."""
+        return F.when(self.valid.get(determinant, F.lit(True)), F.col(determinant).cast("string"))
+
+
+def determinant_counts(rows: DataFrame, targets: Sequence[Target]) -> DataFrame:
+    """Records per target, determinant, its value and the stated value, for all candidate dependencies of all targets.
+
+    One scan and one aggregate: every row gives a short pair per candidate, combined map-side before the shuffle.
+    The stated values are read on their distinct raw forms afterwards. The result is a written table.
+    """
+    pairs = []
+    for i, t in enumerate(targets):
+        raw = (F.col(t.column) if t.raw is None else t.raw).cast("string")
+        stated = F.when(~is_missing(raw), raw)
+        pairs += [F.struct(F.lit(i).alias("target"), F.lit(d).alias("determinant"), t.of(d).alias("value"), stated.alias("raw")) for d in dict.fromkeys([*t.determinants, *t.fallback])]
+    long = rows.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").filter("value IS NOT NULL AND raw IS NOT NULL")
+    counted = durable(long.groupBy("target", "determinant", "value", "raw").agg(F.count("*").alias("c")))
+    read = None
+    for i, t in enumerate(targets):
+        own = counted.filter(F.col("target") == i).select("raw").distinct()
+        known = (t.understood(own) if t.understood else own.withColumn("stated", F.col("raw"))).select(F.lit(i).alias("target"), "raw", "stated")
+        read = known if read is None else read.unionByName(known)
+    return durable(counted.join(read.filter("stated IS NOT NULL"), ["target", "raw"]).groupBy("target", "determinant", "value", "stated").agg(F.sum("c").alias("c")))
+
+
+def dictionaries(counts: DataFrame) -> DataFrame:
+    """Every determinant value's most frequent stated value (ties: smallest), with `n` records and `agree` of them."""
+    key = ["target", "determinant", "value"]
+    top = counts.groupBy(*key).agg(F.sum("c").alias("n"), F.max("c").alias("agree"), F.min(F.struct((-F.col("c")).alias("c"), F.col("stated").alias("v"))).alias("m"))
+    return durable(top.select(*key, F.col("m.v").alias("stated"), "n", "agree"))
+
+
+def mine_dependencies(books: DataFrame) -> DataFrame:
+    """target, determinant, n, confidence of each candidate: the share of records that agree with their dictionary.
+
+    Only determinant values with at least two records count: one record agrees with itself. Candidates without
+    such values are absent.
     """
-    base = rows.withColumn("_stated", stated)
-    usable = {d: F.when((valid or {}).get(d, F.lit(True)), F.col(d)) for d in determinants}
-    complete = base.filter(F.col("_stated").isNotNull()).select(*[c.alias(d) for d, c in usable.items()], *[f for f in fallback if f not in determinants], "_stated")
-    mined = mine_dependencies(complete, determinants, "_stated").collect()  # one row per candidate, by construction
-    sure = sorted((r for r in mined if r.n and r.confidence >= verified), key=lambda r: (-r.confidence, r.determinant))
-    missing = base.filter(is_missing(F.col(column)))
-    out, fills = missing, []
-    for r in sure[:1]:
-        book = majority(complete.filter(F.col(r.determinant).isNotNull()), [r.determinant], "_stated").filter(F.col("agree") >= pure * F.col("n"))
-        book = book.select(F.col(r.determinant).alias("_k"), F.col("_stated").alias("_by_dependency"))
-        out = out.withColumn("_k", usable[r.determinant]).join(book, "_k", "left").drop("_k")
-        fills.append((F.col("_by_dependency"), f"dependency:{r.determinant}"))
-    for i, f in enumerate(fallback):
-        book = majority(complete.filter(F.col(f).isNotNull()), [f], "_stated").select(F.col(f).alias("_k"), F.col("_stated").alias(f"_by_group{i}"))
-        out = out.withColumn("_k", F.col(f)).join(book, "_k", "left").drop("_k")
-        fills.append((F.col(f"_by_group{i}"), f"group:{f}"))
-    value = F.coalesce(*[c for c, _ in fills]) if fills else F.lit(None).cast("string")
-    source = F.coalesce(*[F.when(c.isNotNull(), F.lit(p)) for c, p in fills], F.lit("none"))
-    return out.select(*keys, value.alias("fill_value"), source.alias("provenance"))
+    return books.filter("n >= 2").groupBy("target", "determinant").agg(F.sum("n").alias("n"), (F.sum("agree") / F.sum("n")).alias("confidence"))
+
+
+def fill_missing(rows: DataFrame, targets: Sequence[Target], keys: Sequence[str], verified: float = 0.9, pure: float = 0.6) -> DataFrame:
+    """Missing values of the targets' columns: keys, field_name, fill_value, provenance.
+
+    Dependencies of a confidence of `verified` or more are verified; all of them serve, in the order their target
+    names them, and a dictionary entry must hold the share `pure` of its records. What they leave open takes the
+    majority of the first fallback group that has one. provenance is 'dependency:<determinant>',
+    'group:<fallback>' or 'none' (fill_value NULL). Values missing by is_missing() come out, each row of repeated
+    ones too; no row is dropped. Empty input, empty result. Names of the keys must differ from the result's.
+    """
+    books = dictionaries(determinant_counts(rows, targets))
+    found = {(r.target, r.determinant): r.confidence for r in mine_dependencies(books).collect()}  # a row per candidate
+    plans = []
+    for i, t in enumerate(targets):
+        sure = [(d, f"dependency:{d}", pure) for d in t.determinants if found.get((i, d), 0.0) >= verified]
+        plans.append(sure + [(f, f"group:{f}", 0.0) for f in t.fallback])
+    open_fields = []
+    for i, (t, plan) in enumerate(zip(targets, plans)):
+        tries = F.array(*[F.struct(F.lit(d).alias("determinant"), t.of(d).alias("value"), F.lit(p).alias("provenance"), F.lit(least).alias("least")) for d, p, least in plan]) if plan else F.array().cast("array<struct<determinant:string,value:string,provenance:string,least:double>>")
+        open_fields.append(F.when(is_missing(F.col(t.column).cast("string")), F.struct(F.lit(i).alias("target"), F.lit(t.column).alias("field_name"), tries.alias("tries"))))
+    out = rows.select(*keys, F.explode(F.array_compact(F.array(*open_fields))).alias("_o")).select(*keys, "_o.*")
+    entries = books.select("target", "determinant", "value", "stated", (F.col("agree") / F.col("n")).alias("share"))
+    fills = []
+    for k in range(max(map(len, plans), default=0)):
+        own = entries.withColumnsRenamed({"determinant": "_d", "value": "_v", "stated": f"_s{k}", "share": f"_p{k}"})
+        step = out.withColumns({"_d": F.get("tries", F.lit(k))["determinant"], "_v": F.get("tries", F.lit(k))["value"]})
+        out = step.join(own, ["target", "_d", "_v"], "left").drop("_d", "_v")
+        good = F.col(f"_p{k}") >= F.get("tries", F.lit(k))["least"] - 1e-12
+        fills.append(F.when(good, F.struct(F.col(f"_s{k}").alias("v"), F.get("tries", F.lit(k))["provenance"].alias("p"))))
+    best = F.coalesce(*fills, F.struct(F.lit(None).cast("string").alias("v"), F.lit("none").alias("p")))
+    return out.select(*keys, "field_name", best["v"].alias("fill_value"), best["p"].alias("provenance"))
+
+
+def stated_language(c: Column, languages: Sequence[str] = ("es", "de", "cn")) -> Column:
+    """The language that a value states, NULL if it states none of them."""
+    return F.when(F.lower(strip(c)).isin(*languages), F.lower(strip(c)))
 
 
 def load_languages(items: DataFrame, languages: Sequence[str] = ("es", "de", "cn")) -> DataFrame:
     """load_id -> l1: the L1 that most of a load's records state; loads whose records state none are absent."""
-    stated = items.select("load_id", F.when(F.lower(strip(F.col("L1"))).isin(*languages), F.lower(strip(F.col("L1")))).alias("l1")).filter("l1 is not null and load_id is not null")
+    stated = items.select("load_id", stated_language(F.col("L1"), languages).alias("l1")).filter("l1 is not null and load_id is not null")
     return majority(stated, ["load_id"], "l1").select("load_id", "l1")
 
 
 def fill_items(items: DataFrame, refs: DataFrame) -> DataFrame:
     """Fills for L1 (determined by the load) and en_target_pos (by the item): row_id, field_name, fill_value, provenance."""
-    language = F.when(F.lower(strip(F.col("L1"))).isin("es", "de", "cn"), F.lower(strip(F.col("L1"))))
-    by_load = fill_from_dependencies(items, "L1", language, ["load_id", "source", "split"], ["source"], ["row_id"])
-    typed = items.filter(~is_missing(F.col("en_target_pos"))).groupBy(F.col("en_target_pos").alias("value")).count().select(F.lit("en_target_pos").alias("field_name"), F.lit("").alias("l1"), "value")
-    meant = durable(meant_tags(typed, refs.filter("field_name = 'en_target_pos'")).filter("canonical is not null").select(F.col("value").alias("en_target_pos"), F.col("canonical").alias("_tag")))
-    tagged = items.join(meant, "en_target_pos", "left")
+
+    def tags(raw: DataFrame) -> DataFrame:
+        typed = raw.select(F.lit("en_target_pos").alias("field_name"), F.lit("").alias("l1"), F.col("raw").alias("value"))
+        return meant_tags(typed, refs.filter("field_name = 'en_target_pos'")).select(F.col("value").alias("raw"), F.col("canonical").alias("stated"))
+
+    languages = lambda raw: raw.withColumn("stated", stated_language(F.col("raw")))
     real = (F.col("item_id") > 0) & (F.col("item_id") < 999_999_999)  # 0, -1 and all nines stand for no item
-    by_item = fill_from_dependencies(tagged, "en_target_pos", F.col("_tag"), ["item_id", "en_target_clue", "load_id"], ["en_target_word"], ["row_id"], valid={"item_id": real})
-    return by_load.withColumn("field_name", F.lit("L1")).unionByName(by_item.withColumn("field_name", F.lit("en_target_pos"))).select("row_id", "field_name", "fill_value", "provenance")
+    by_load = Target("L1", ["load_id", "source", "split"], ["source"], understood=languages)
+    by_item = Target("en_target_pos", ["item_id", "en_target_clue", "load_id"], ["en_target_word"], understood=tags, valid={"item_id": real})
+    return fill_missing(items, [by_load, by_item], ["row_id"])

@@ -90,3 +90,11 @@ def test_corner_cases(spark):
 def test_repeated_rows_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "a;b", "x"), (1, "a;b", "y")], "row_id bigint, w string, parts string")
     assert split_values(df, "w", ["row_id"]).count() == 4
+
+
+def test_any_number_of_quoted_values(spark):
+    for n in (240, 260, 5_000):
+        fields = [sep.join(f"{a}u{i}, v{b}" for i in range(n)) for a, b, sep in (('"', '"', "; "), ("“", "”", ";"), ("«", "»", ", "))]
+        assert run(spark, fields) == [[f"u{i}, v" for i in range(n)]] * 3
+    noted = "; ".join(f"w{i} (nicht: x, y)" for i in range(3_000))
+    assert run(spark, [noted, "„x " * 10_000 + ";b"])[0] == [f"w{i}" for i in range(3_000)]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from glossmill.operators.fill import fill_from_dependencies, fill_items, load_languages, mine_dependencies
+from glossmill.operators.fill import Target, determinant_counts, dictionaries, fill_items, fill_missing, load_languages, mine_dependencies
 from glossmill.operators.profile import ColumnRule, control_limits, merge_states, metrics, offending_loads, states
 
 ITEMS = "row_id bigint, item_id bigint, L1 string, split string, L1_source_word string, en_target_word string, en_target_pos string, en_target_clue string, GLMM_score double, source string, load_id bigint"
@@ -32,11 +32,29 @@ def test_fill_items(spark):
 
 def test_fill_empty_and_unverified(spark):
     df = spark.createDataFrame([], "k bigint, a string, v string")
-    assert fill_from_dependencies(df, "v", F.col("v"), ["a"], [], ["k"]).count() == 0
+    assert fill_missing(df, [Target("v", ["a"])], ["k"]).count() == 0
     mixed = spark.createDataFrame([(i, "a", "xyz"[i % 3]) for i in range(9)] + [(9, "a", None)], "k bigint, a string, v string")
-    assert mine_dependencies(mixed.filter("v IS NOT NULL"), ["a"], "v").first().confidence == 1 / 3
-    row = fill_from_dependencies(mixed, "v", F.col("v"), ["a"], ["a"], ["k"]).first()
+    assert mine_dependencies(dictionaries(determinant_counts(mixed, [Target("v", ["a"])]))).first().confidence == 1 / 3
+    row = fill_missing(mixed, [Target("v", ["a"], ["a"])], ["k"]).first()
     assert (row.fill_value, row.provenance) == ("x", "group:a")
+    assert fill_missing(mixed, [Target("v", ["a"])], ["k"]).first().provenance == "none"
+
+
+def test_all_verified_dependencies_serve_in_order(spark):
+    # a and b are equally sure; b alone knows p4, and a is named first
+    rows = [(i, f"a{i % 2}", f"b{i % 2}", "xy"[i % 2]) for i in range(12)] + [(12, "a0", "b1", None), (13, None, "b1", ""), (13, None, "b1", ""), (14, "new", "b0", "-"), (15, None, None, None)]
+    df = spark.createDataFrame(rows, "k bigint, a string, b string, v string")
+    got = sorted((r.k, r.fill_value, r.provenance) for r in fill_missing(df, [Target("v", ["a", "b"])], ["k"]).filter("k < 15").collect())
+    assert got == [(12, "x", "dependency:a"), (13, "y", "dependency:b"), (13, "y", "dependency:b"), (14, "x", "dependency:b")]
+    got = {r.k: (r.fill_value, r.provenance) for r in fill_missing(df, [Target("v", ["b", "a"])], ["k"]).collect()}
+    assert got[12] == ("y", "dependency:b") and got[15] == (None, "none")
+
+
+def test_item_comes_before_an_equally_sure_clue(spark):
+    rows = [(i, 100_000 + i // 4, "es", "train", "w", "x", "NOUN" if i // 4 % 2 else "VERB", f"x{i // 4}_", 0.0, "s", 1) for i in range(40)]
+    rows[2] = (2, 100_000, "es", "train", "w", "x", None, "x0_", 0.0, "s", 1)
+    got = [(r.fill_value, r.provenance) for r in fill_items(items(spark, rows), refs(spark)).collect()]
+    assert got == [("VERB", "dependency:item_id")]
 
 
 def test_load_languages_takes_the_majority(spark):
