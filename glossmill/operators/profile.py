@@ -1,19 +1,23 @@
 """Column-level data quality: declarative checks over one shared aggregate scan per partition.
 
-The scan gives mergeable states (counts, sums, bounds, sketches): states of partitions merge into
-states of any union of them, so a new load costs one pass over itself. Checks are expressions over
-states; anomaly tests compare a partition's metrics with control limits of its history.
+The scan gives mergeable states (counts, sums, central moments, bounds, sketches): states of partitions
+merge into states of any union of them. They are kept in a table, a folder per batch, so a new load costs
+one pass over itself and old rows aren't read again. Checks are expressions over merged states; anomaly
+tests compare a partition's metrics with control limits of its history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import is_missing
+from glossmill.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,11 @@ class Check:
 
 @dataclass(frozen=True)
 class ColumnRule:
-    """What counts as a valid value of a column: bounds of numbers, allowed values or a pattern of text; `exact` asks for exact distinct counts."""
+    """What counts as a valid value of a column: bounds of numbers, allowed values or a pattern of text; `exact` asks for exact distinct counts.
+
+    distinct_share: a check compares distinct over non-null values with this share; partitions whose sketch comes
+    near it are counted exactly.
+    """
 
     column: str
     low: float | None = None
@@ -36,6 +44,11 @@ class ColumnRule:
     exact: bool = False
     allowed: tuple[str, ...] = ()
     pattern: str | None = None
+    distinct_share: float | None = None
+
+
+#: A sketch of 2^12 registers errs by 1.6 % (one deviation); counts nearer to a threshold than six of them are made exact.
+SKETCH_MARGIN = 0.1
 
 
 def _value(df: DataFrame, column: str) -> Column:
@@ -47,8 +60,8 @@ def _value(df: DataFrame, column: str) -> Column:
 def states(rows: DataFrame, partition: str, columns: Sequence[str], rules: Sequence[ColumnRule] = ()) -> DataFrame:
     """Mergeable state of every column in every partition, from one scan.
 
-    One row per (partition, column_name): n, non_null, total, squares, low, high (numbers), in_range,
-    in_range_total, longest (text length), sketch (distinct values; HyperLogLog, mergeable), first and last (text),
+    One row per (partition, column_name): n, non_null, total, m2 (squared differences from the mean), low, high (numbers), in_range,
+    in_range_total, longest (text only), sketch (distinct values; HyperLogLog, mergeable), first and last (text),
     placeholders (text that stands for a missing value; NULL for other types), broken. NaN counts as NULL; broken
     counts numbers beyond the rule's bounds and text that is a placeholder or neither allowed nor of the pattern, and
     is NULL where the column has no such rule. Empty input, empty result.
@@ -59,7 +72,7 @@ def states(rows: DataFrame, partition: str, columns: Sequence[str], rules: Seque
     for c in columns:
         v = _value(rows, c)
         numeric = types[c] in ("bigint", "int", "smallint", "tinyint", "double", "float") or types[c].startswith("decimal")
-        number = (v if numeric else F.unix_micros(v) / 1e6 if types[c] == "timestamp" else F.lit(None)).cast("double")
+        number = (v if numeric else F.unix_micros(v.cast("timestamp")) / 1e6 if types[c].startswith("timestamp") else F.lit(None)).cast("double")
         rule = bounds.get(c, ColumnRule(c))
         inside = F.lit(True)
         if rule.low is not None:
@@ -79,10 +92,11 @@ def states(rows: DataFrame, partition: str, columns: Sequence[str], rules: Seque
             broken = F.count_if(v.isNotNull() & wrong) if rule.allowed or rule.pattern is not None else none
         else:
             broken = F.count_if(number.isNotNull() & ~inside) if rule.low is not None or rule.high is not None else none
+        # the sketch ignores empty strings, so every value carries a sign
         packed.append(
             F.struct(
-                F.count("*").alias("n"), F.count(v).alias("non_null"), F.sum(number).alias("total"), F.sum(number * number).alias("squares"), F.min(number).alias("low"), F.max(number).alias("high"),
-                F.count(kept).alias("in_range"), F.sum(kept).alias("in_range_total"), F.max(F.length(v.cast("string"))).alias("longest"), F.hll_sketch_agg(v.cast("string"), F.lit(12)).alias("sketch"),
+                F.count("*").alias("n"), F.count(v).alias("non_null"), F.sum(number).alias("total"), (F.var_pop(number) * F.count(number)).alias("m2"), F.min(number).alias("low"), F.max(number).alias("high"),
+                F.count(kept).alias("in_range"), F.sum(kept).alias("in_range_total"), F.max(F.length(text)).alias("longest"), F.hll_sketch_agg(F.concat(F.lit("="), v.cast("string")), F.lit(12)).alias("sketch"),
                 F.min(text).alias("first"), F.max(text).alias("last"), (F.count_if(placeholder) if types[c] == "string" else none).alias("placeholders"), broken.alias("broken"),
             ).alias(f"_s_{c}")
         )
@@ -92,8 +106,10 @@ def states(rows: DataFrame, partition: str, columns: Sequence[str], rules: Seque
 
 def merge_states(parts: DataFrame, into: Sequence[str]) -> DataFrame:
     """States of unions of partitions; associative, so increments merge in any order."""
+    between = F.sum(F.when(F.col("non_null") > 0, F.col("total") * F.col("total") / F.col("non_null"))) - F.when(F.sum("non_null") > 0, F.sum("total") * F.sum("total") / F.sum("non_null"))
+    m2 = F.sum("m2") + between  # between is exactly 0 for a single state
     return parts.groupBy(*into, "column_name").agg(
-        F.sum("n").alias("n"), F.sum("non_null").alias("non_null"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum("n").alias("n"), F.sum("non_null").alias("non_null"), F.sum("total").alias("total"), m2.alias("m2"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.sum("in_range").alias("in_range"), F.sum("in_range_total").alias("in_range_total"), F.max("longest").alias("longest"), F.hll_union_agg("sketch").alias("sketch"),
         F.min("first").alias("first"), F.max("last").alias("last"), F.sum("placeholders").alias("placeholders"), F.sum("broken").alias("broken"),
     )
@@ -105,20 +121,44 @@ def exact_distinct(rows: DataFrame, partition: str, columns: Sequence[str]) -> D
     return long.groupBy(partition, "column_name", "v").agg(F.lit(1).alias("one")).groupBy(partition, "column_name").agg(F.count("v").alias("distinct_values"))
 
 
-def metrics(rows: DataFrame, partition: str, columns: Sequence[str], rules: Sequence[ColumnRule] = ()) -> DataFrame:
-    """States with their derived metrics: null_rate, mean, deviation, mean_in_range, distinct_values, violations (NULL where no rule says what is valid)."""
-    s = states(rows, partition, columns, rules)
+def add_batch(rows: DataFrame, partition: str, columns: Sequence[str], rules: Sequence[ColumnRule], path: str, batch: int) -> None:
+    """Write the states of a batch of rows to the state table at `path`; a batch that runs again replaces itself.
+
+    Rows without a partition belong to nothing and are left out. Columns and rules must be those of the other batches.
+    """
+    states(rows.filter(F.col(partition).isNotNull()), partition, columns, rules).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_states(spark: SparkSession, path: str, partition: str) -> DataFrame:
+    """Merged states of all batches of a state table; a partition that came in several batches is one."""
+    return merge_states(spark.read.parquet(path), [partition])
+
+
+def metrics(rows: DataFrame, partition: str, columns: Sequence[str], rules: Sequence[ColumnRule] = (), known: DataFrame | None = None) -> DataFrame:
+    """States with their derived metrics: null_rate, mean, deviation, mean_in_range, distinct_values, violations (NULL where no rule says what is valid).
+
+    known: the states, if they are kept in a table. Rows are then read again only where a distinct count must be
+    exact: for `exact` rules, and for the partitions whose sketch comes near a rule's distinct_share.
+    """
+    s = states(rows, partition, columns, rules) if known is None else known
+    rough = F.hll_sketch_estimate("sketch")
     exact = [r.column for r in rules if r.exact and r.column in columns]
-    out = s
-    distinct = F.hll_sketch_estimate("sketch")
-    if exact:
-        out = s.join(exact_distinct(rows, partition, exact), [partition, "column_name"], "left")
-        distinct = F.coalesce("distinct_values", distinct)
-    variance = F.col("squares") / F.col("non_null") - F.pow(F.col("total") / F.col("non_null"), 2)
+    close = [r for r in rules if r.distinct_share is not None and not r.exact and r.column in columns]
+    counted = exact_distinct(rows, partition, exact) if exact else None
+    if close:
+        at = lambda r: (F.col("column_name") == r.column) & (F.abs(rough - r.distinct_share * F.col("non_null")) <= SKETCH_MARGIN * r.distinct_share * F.col("non_null"))
+        near = s.filter(reduce(or_, map(at, close)) & (F.col("non_null") > 0)).select(partition, "column_name")
+        # a row for each partition at most; an empty one leaves nothing to scan
+        again = exact_distinct(rows.join(near.select(partition).distinct(), partition, "left_semi"), partition, [r.column for r in close]).join(near, [partition, "column_name"], "left_semi")
+        counted = again if counted is None else counted.unionByName(again)
+    out, distinct = s, rough
+    if counted is not None:
+        out = s.join(counted, [partition, "column_name"], "left")
+        distinct = F.coalesce("distinct_values", rough)
     some = F.col("non_null") > 0
     return out.select(
         partition, "column_name", "n", "non_null", ((F.col("n") - F.col("non_null")) / F.col("n")).alias("null_rate"), distinct.alias("distinct_values"), "low", "high",
-        F.when(some, F.col("total") / F.col("non_null")).alias("mean"), F.when(some, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("deviation"),
+        F.when(some, F.col("total") / F.col("non_null")).alias("mean"), F.when(some & F.col("m2").isNotNull(), F.sqrt(F.greatest(F.col("m2") / F.col("non_null"), F.lit(0.0)))).alias("deviation"),
         F.when(F.col("in_range") > 0, F.col("in_range_total") / F.col("in_range")).alias("mean_in_range"), F.col("broken").alias("violations"), "longest",
         "first", "last", "placeholders",
     )
@@ -157,7 +197,7 @@ def control_limits(profile: DataFrame, partition: str, series: Sequence[str], or
     return past.withColumn("anomaly", F.when(F.col("past_n") >= least, out)).select(partition, "column_name", "metric", "value", "past_n", "center", "spread", "anomaly")
 
 
-ITEM_RULES = (ColumnRule("GLMM_score", -6.0, 6.0, exact=True), ColumnRule("item_id", 100_000, 99_999_999, exact=True))
+ITEM_RULES = (ColumnRule("GLMM_score", -6.0, 6.0, distinct_share=0.5), ColumnRule("item_id", 100_000, 99_999_999, distinct_share=0.85))
 # What the text columns of items may hold. Columns in neither list have no rule.
 TEXT_RULES = (
     ColumnRule("L1", allowed=("es", "de", "cn")),
@@ -180,10 +220,25 @@ ITEM_CHECKS = (
 )
 
 
-def profile_items(items: DataFrame, loads: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Profile of items columns per load, with split and the base load's metrics."""
+def profile_items(items: DataFrame, loads: DataFrame, columns: Sequence[str] | None = None, path: str | None = None, batches: int = 1) -> DataFrame:
+    """Profile of items columns per load, with split and the base load's metrics, from a state table.
+
+    path: the state table's folder (a fresh one if None). Loads are taken in by `batches` in order of delivery, as
+    they would arrive; the result is the same for any number. Rows of a load that `loads` lacks are in no profile.
+    """
+    spark = items.sparkSession
     wanted = [c for c in items.columns if c not in ("load_id",)] if columns is None else list(columns)
-    return with_base(metrics(items, "load_id", wanted, ITEM_RULES + TEXT_RULES), loads, "load_id", "base_load_id", ["split", "delivered_at"])
+    path = path or scratch_path(spark, "profile")
+    if batches == 1:
+        add_batch(items, "load_id", wanted, ITEM_RULES + TEXT_RULES, path, 0)
+    else:
+        when = F.unix_micros(F.col("delivered_at").cast("timestamp"))
+        cuts = loads.agg(F.percentile_approx(when, [i / batches for i in range(1, batches)], 10_000).alias("c")).first().c or []
+        at = F.coalesce(sum((F.when(when > c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0))
+        for b in range(batches):
+            add_batch(items.join(loads.filter(at == b).select("load_id"), "load_id", "left_semi"), "load_id", wanted, ITEM_RULES + TEXT_RULES, path, b)
+    known = read_states(spark, path, "load_id")
+    return with_base(metrics(items, "load_id", wanted, ITEM_RULES + TEXT_RULES, known), loads, "load_id", "base_load_id", ["split", "delivered_at"])
 
 
 def offending_loads(items: DataFrame, loads: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from glossmill.operators import checks, concepts
 from glossmill.operators.fill import load_languages
 from glossmill.operators.source_words import entry_struct
 from glossmill.plans import analysis
+from glossmill.plans.core_queries import rounded
 from glossmill.sources.files import union_common
 from glossmill.sources.tables import table
 
@@ -38,11 +39,6 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so engines that add in another order agree."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 EP = """
 WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, model_name ORDER BY scored_at NULLS FIRST, oof_prediction NULLS FIRST) AS rn FROM oof_predictions) WHERE rn = 1),
 e0 AS (SELECT o.row_id, model_name, cv_fold, target AS gold, oof_prediction AS pred, i.item_id, coalesce(i.L1, '?') AS lang, i.split, i.source, i.L1_source_word, i.en_target_word, i.en_target_clue

@@ -62,8 +62,37 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table that is written and read again."""
-    return os.path.join(shared_dir(spark), f"{name}-{os.urandom(6).hex()}")
+    """A fresh path in the shared folder for a table that is written and read again; clean() removes it."""
+    path = os.path.join(shared_dir(spark), f"{name}-{os.urandom(6).hex()}")
+    if not _written:
+        atexit.register(_clean_at_exit)
+    _written.append(path)
+    return path
+
+
+#: Paths that this process has written in the shared folder.
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove the written tables of this process from the shared folder; frames that read them are void then.
+
+    Call it once the results of the queries are stored. It also runs when Python ends while the session lives.
+    """
+    hadoop, conf, gone = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = hadoop.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
+def _clean_at_exit() -> None:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            clean(spark)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

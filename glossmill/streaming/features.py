@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.features.lexical import lexical_columns
-from glossmill.operators.profile import states
+from glossmill.operators.profile import add_batch
 
 
 def stream_features(items: DataFrame) -> DataFrame:
@@ -18,6 +18,6 @@ def profile_batches(items: DataFrame, path: str, partition: str, columns: list[s
     """Append every micro-batch's mergeable profile states to a table; a batch that runs again overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        states(batch, partition, columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        add_batch(batch, partition, columns, (), path, number)
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

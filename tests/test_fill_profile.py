@@ -1,9 +1,9 @@
 """Dependency fill and profiles on small tables, with the defined corner cases."""
 
-from pyspark.sql import functions as F
+from datetime import datetime
 
 from glossmill.operators.fill import Target, determinant_counts, dictionaries, fill_items, fill_missing, load_languages, mine_dependencies
-from glossmill.operators.profile import ColumnRule, control_limits, merge_states, metrics, offending_loads, states
+from glossmill.operators.profile import ColumnRule, add_batch, control_limits, merge_states, metrics, offending_loads, profile_items, read_states, states
 
 ITEMS = "row_id bigint, item_id bigint, L1 string, split string, L1_source_word string, en_target_word string, en_target_pos string, en_target_clue string, GLMM_score double, source string, load_id bigint"
 REFS = "ref_id bigint, field_name string, L1 string, canonical string, aliases string"
@@ -82,6 +82,26 @@ def test_offending_loads(spark):
     assert got == {(2, "GLMM_score", "shift"), (3, "GLMM_score", "nulls"), (3, "GLMM_score", "range"), (3, "GLMM_score", "distinct"), (3, "item_id", "nulls"), (3, "item_id", "range"), (3, "item_id", "distinct")}
 
 
+def test_batches_give_the_profile_of_all(spark, tmp_path):
+    rows = [(i, 100_000 + i % 90, "es", "train", "w", "x", "NOUN", "x_", (i % 50) / 10.0, "s", i % 4) for i in range(400)] + [(999, 1, "es", "train", "w", "x", "NOUN", "x_", 0.0, "s", None)]
+    loads = spark.createDataFrame([(k, 0, "train", datetime(2024, 1, 1 + k)) for k in range(4)], "load_id bigint, base_load_id bigint, split string, delivered_at timestamp")
+    once = profile_items(items(spark, rows), loads, path=f"{tmp_path}/a").drop("first")
+    twice = profile_items(items(spark, rows), loads, path=f"{tmp_path}/b", batches=3).drop("first")
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect())) and once.count() == 40
+    add_batch(items(spark, rows), "load_id", ["GLMM_score"], (), f"{tmp_path}/c", 0)
+    add_batch(items(spark, [(1, 1, "es", "train", "w", "x", "NOUN", "x_", 70.0, "s", 3)]), "load_id", ["GLMM_score"], (), f"{tmp_path}/c", 1)
+    merged = {r.load_id: r for r in read_states(spark, f"{tmp_path}/c", "load_id").collect()}
+    values = [(i % 50) / 10.0 for i in range(3, 400, 4)] + [70.0]
+    mean = sum(values) / len(values)
+    assert merged[3].n == 101 and merged[3].high == 70.0 and abs(merged[3].m2 - sum((v - mean) ** 2 for v in values)) < 1e-6
+
+
+def test_distinct_counts_near_a_threshold_are_exact(spark):
+    df = spark.createDataFrame([(1, float(i % 5_010)) for i in range(10_000)] + [(2, float(i)) for i in range(9_000)], "p int, x double")
+    got = {r.p: r.distinct_values for r in metrics(df, "p", ["x"], [ColumnRule("x", distinct_share=0.5)]).collect()}
+    assert got[1] == 5_010 and got[2] > 8_000
+
+
 def test_control_limits(spark):
     df = spark.createDataFrame([(i, 1, "x", i, 0.1 if i < 8 else 0.9) for i in range(9)], "load int, base int, column_name string, at int, rate double")
     assert [r.load for r in control_limits(df, "load", ["base"], "at", "rate").filter("anomaly").collect()] == [8]
