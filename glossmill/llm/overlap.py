@@ -4,13 +4,16 @@ Contexts become bags of words (characters in Chinese) with numbered repeats. Two
 at least `agree` of the longer one's tokens. With tokens in order of global rarity, contexts that share t or
 more tokens share at least two among the rarest |A| - t + 2 of each, so the index holds pairs of rare tokens
 (shingles) of evaluation contexts and training contexts probe it, inside one group key. Length and positions
-filter, the overlap is then counted exactly. Very long contexts, whose pairs would be many, meet on single
-rare tokens instead. Equal contexts are folded to one before the join and unfolded after it, so copies cost
+filter, the overlap is then counted exactly. Contexts too long for pairs (their rare tokens would be many) and
+those so short that one shared token may be enough meet on single rare tokens; where the ways change follows
+from `agree`, so that any two contexts that may agree have one in common. Equal contexts are folded to one before the join and unfolded after it, so copies cost
 their output only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +22,8 @@ from glossmill.llm.canonical import closest_entries, with_language
 from glossmill.operators.delimited import distinct_fields, parse_fields
 from glossmill.session import durable, spread
 
-#: Bags up to PAIRED tokens are indexed by pairs, bags from SINGLE by single tokens; any two that may agree share a way.
-PAIRED, SINGLE = 200, 170
+#: Rare tokens of a bag that is indexed by their pairs, at most (496 pairs); bags with more go by single tokens.
+RARE_TOKENS = 32
 #: Vocabularies up to this many tokens are broadcast (about 20 MB); larger ones are joined by a shuffle.
 BROADCAST_TOKENS = 200_000
 
@@ -31,14 +34,28 @@ def bag(context: Column, language: Column) -> Column:
     return let(folded, lambda t: occurrences(F.when(language == "cn", F.regexp_extract_all(t, F.lit("[\\p{L}\\p{N}]"), F.lit(0))).otherwise(F.regexp_extract_all(t, F.lit("[\\p{L}\\p{M}\\p{N}]+"), F.lit(0)))))
 
 
+def ways(agree: float) -> tuple[int, int, int]:
+    """Sizes of bags by way: paired up to the first, by single tokens from the second, and also up to the third.
+
+    Bags that agree share need(larger) = ceil(agree * size) tokens or more, so the smaller has that many. Either both
+    are paired; or the larger isn't, then the smaller has need(paired + 1) tokens at least; or need is 1, then the
+    larger has 1 / agree tokens at most. In the last two cases both are indexed by single tokens.
+    """
+    if not 0 < agree <= 1:
+        raise ValueError("agree must be in (0, 1]")
+    paired = int((RARE_TOKENS - 2) / (1 - agree) + 1e-9) if agree < 1 else 1 << 30
+    return paired, math.ceil((paired + 1) * agree - 1e-9), int(1 / agree + 1e-9)
+
+
 def _keys(prefix: Column, size: Column, agree: float) -> Column:
-    """Index keys of a bag: pairs of its rare tokens with the position of the second, and single ones for long bags and bags of one token."""
+    """Index keys of a bag, with the position of the (second) token: pairs of its rare tokens, single ones, or both (see ways())."""
+    paired, single, tiny = ways(agree)
     short = F.slice(prefix, F.lit(1), F.least(size, (size - F.ceil(size * agree - 1e-9) + 2).cast("int")))
     long = F.slice(prefix, F.lit(1), (size - F.ceil(size * agree - 1e-9) + 1).cast("int"))
     pairs = let(short, lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y, j: F.struct(F.xxhash64(x, y).alias("k"), (i + j + 2).alias("at"))))))
     singles = F.transform(long, lambda x, i: F.struct(F.xxhash64(x, F.lit(1)).alias("k"), (i + 1).alias("at")))
     none = F.array().cast("array<struct<k:bigint,at:int>>")
-    return F.concat(F.when(size <= PAIRED, pairs).otherwise(none), F.when((size >= SINGLE) | (size == 1), singles).otherwise(none))
+    return F.concat(F.when(size <= paired, pairs).otherwise(none), F.when((size >= single) | (size <= tiny), singles).otherwise(none))
 
 
 def near_pairs(bags: DataFrame, agree: float = 0.85) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import pytest
+
 from glossmill.llm.canonical import closest_entries
 from glossmill.llm.lookalike import consistent_values
-from glossmill.llm.overlap import cross_split_pairs, near_pairs
+from glossmill.llm.overlap import cross_split_pairs, near_pairs, ways
 from glossmill.llm.splits import PROPORTIONS, assign, components, update
 
 REFS = "ref_id bigint, field_name string, L1 string, canonical string, aliases string"
@@ -85,32 +87,47 @@ def test_update_keeps_and_quarantines(spark):
     assert third["z"] == third["a"] == third["c"] == "quarantine"
 
 
-def test_near_pairs_against_brute_force(spark):
+def numbered(words):
+    seen, out = Counter(), []
+    for x in words:
+        seen[x] += 1
+        out.append(f"{x}#{seen[x]}")
+    return out
+
+
+BAGS = "id string, g string, language string, tokens array<string>, is_train boolean, is_eval boolean"
+
+
+@pytest.mark.parametrize("agree", [0.5, 0.7, 0.85, 1.0])
+def test_near_pairs_against_brute_force(spark, agree):
     rng = random.Random(8)
+    sizes = [0, 1, 2, 3, 6, 7, 20, 21, 59, 61, 99, 101, 180, 210]
     rows = []
     for i in range(160):
-        base = [f"w{rng.randrange(12)}" for _ in range(rng.choice([0, 1, 2, 6, 7, 20, 21, 180, 210]))] if i % 3 == 0 or not rows else list(rows[-1][3])
-        for _ in range(rng.randrange(3)):
-            if base:
+        base = [f"w{rng.randrange(12 if rng.random() < 0.7 else 200)}" for _ in range(rng.choice(sizes))] if i % 3 == 0 or not rows else list(rows[-1][3])
+        for _ in range(rng.choice([0, 1, 2, len(base) // 8, len(base) // 3])):
+            if base and rng.random() < 0.5:
+                base.pop(rng.randrange(len(base)))
+            elif base:
                 base[rng.randrange(len(base))] = f"w{rng.randrange(12)}"
         rows.append((str(i), f"g{i % 2}" if rng.random() < 0.3 else "g0", "es", base, rng.random() < 0.7, rng.random() < 0.5))
-
-    def numbered(words):
-        seen = Counter()
-        out = []
-        for x in words:
-            seen[x] += 1
-            out.append(f"{x}#{seen[x]}")
-        return out
-
-    bags = spark.createDataFrame([(i, g, l, numbered(t), a, b) for i, g, l, t, a, b in rows], "id string, g string, language string, tokens array<string>, is_train boolean, is_eval boolean")
-    got = {(r.eval_id, r.train_id) for r in near_pairs(bags.filter("size(tokens) > 0")).collect()}
+    bags = spark.createDataFrame([(i, g, l, numbered(t), a, b) for i, g, l, t, a, b in rows], BAGS)
+    got = {(r.eval_id, r.train_id) for r in near_pairs(bags.filter("size(tokens) > 0"), agree).collect()}
     want = set()
     for i, g, _, t, _, ev in rows:
         for j, h, _, u, tr, _ in rows:
-            if ev and tr and g == h and t and u and sum((Counter(t) & Counter(u)).values()) >= 0.85 * max(len(t), len(u)) - 1e-9:
+            if ev and tr and g == h and t and u and sum((Counter(t) & Counter(u)).values()) >= agree * max(len(t), len(u)) - 1e-9:
                 want.add((i, j))
-    assert got == want
+    assert got == want and len(want) > 20
+
+
+def test_near_pairs_of_other_thresholds(spark):
+    long = [f"t{i}" for i in range(210)]
+    df = spark.createDataFrame([("a", "g", "es", numbered(long), True, False), ("b", "g", "es", numbered(long[:150]), False, True), ("c", "h", "es", ["x#1", "y#1"], True, False), ("d", "h", "es", ["x#1", "z#1"], False, True)], BAGS)
+    assert {(r.eval_id, r.train_id) for r in near_pairs(df, 0.7).collect()} == {("b", "a")}
+    assert {(r.eval_id, r.train_id) for r in near_pairs(df, 0.5).collect()} == {("b", "a"), ("d", "c")}
+    with pytest.raises(ValueError):
+        ways(0.0)
 
 
 def test_cross_split_pairs(spark):
