@@ -104,11 +104,12 @@ def asked_meanings(items: DataFrame, refs: DataFrame) -> DataFrame:
     return out.select("row_id", "split", "source", "load_l1", "L1_context", "headword", F.coalesce("word_ref", F.lit(0)).alias("word_ref"), F.coalesce("source_ref", F.lit(0)).alias("source_ref"))
 
 
-def cross_split_pairs(items: DataFrame, refs: DataFrame, agree: float = 0.85) -> DataFrame:
-    """Pairs of a train record and a dev or test record that ask the same: train_row, eval_row, split, source, similarity.
+def overlap_classes(items: DataFrame, refs: DataFrame, agree: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """Records with the class of equal questions they are in, and the pairs of classes that agree.
 
-    Same L1 of the load, same headword and first source word meant, contexts that agree. Records without an entry
-    for either word, without context tokens, or of a load without L1 are in no pair.
+    Records: row_id, split, source, id (class), is_train. Pairs: eval_id, train_id, similarity. A question is the L1 of
+    the load, the headword and first source word meant, and the context's bag. Records without an entry for either
+    word, without context tokens, or of a load without L1 are in no class.
     """
     asked = asked_meanings(items, refs).filter("word_ref > 0 AND source_ref > 0 AND load_l1 IS NOT NULL AND L1_context IS NOT NULL AND split IN ('train', 'dev', 'test')")
     grouped = asked.withColumn("g", F.concat_ws("|", "load_l1", "word_ref", "source_ref")).withColumn("is_train", F.col("split") == "train")
@@ -116,7 +117,27 @@ def cross_split_pairs(items: DataFrame, refs: DataFrame, agree: float = 0.85) ->
     rows = spread(grouped.join(both, "g"), "row_id").withColumn("tokens", bag(F.col("L1_context"), F.col("load_l1"))).filter(F.size("tokens") > 0)
     rows = durable(rows.withColumn("id", F.md5(F.concat_ws("\x02", "g", F.array_join("tokens", "\x03")))).select("row_id", "split", "source", "g", "load_l1", "is_train", "tokens", "id"))
     bags = rows.groupBy("id").agg(F.first("g").alias("g"), F.first("load_l1").alias("language"), F.first("tokens").alias("tokens"), F.max("is_train").alias("is_train"), (~F.min("is_train")).alias("is_eval"))
-    pairs = durable(near_pairs(durable(bags), agree))
+    return rows.select("row_id", "split", "source", "id", "is_train"), durable(near_pairs(durable(bags), agree))
+
+
+def cross_split_pairs(items: DataFrame, refs: DataFrame, agree: float = 0.85) -> DataFrame:
+    """Pairs of a train record and a dev or test record that ask the same: train_row, eval_row, split, source, similarity.
+
+    The classes' pairs (see overlap_classes()) unfolded to their records.
+    """
+    rows, pairs = overlap_classes(items, refs, agree)
     train = rows.filter("is_train").select(F.col("id").alias("train_id"), F.col("row_id").alias("train_row"))
     held = rows.filter("NOT is_train").select(F.col("id").alias("eval_id"), F.col("row_id").alias("eval_row"), "split", "source")
     return pairs.join(train, "train_id").join(held, "eval_id").select("train_row", "eval_row", "split", "source", "similarity")
+
+
+def overlap_report(items: DataFrame, refs: DataFrame, agree: float = 0.85) -> DataFrame:
+    """Leaks per split and source of the evaluation records: split, source, n_pairs, n_records (those in a pair).
+
+    Counted on classes: a class pair weighs its records' numbers, no pair of records is made.
+    """
+    rows, pairs = overlap_classes(items, refs, agree)
+    sizes = rows.filter("is_train").groupBy(F.col("id").alias("train_id")).agg(F.count("*").alias("n"))
+    hits = pairs.join(sizes, "train_id").groupBy("eval_id").agg(F.sum("n").alias("n"))
+    held = rows.filter("NOT is_train").groupBy(F.col("id").alias("eval_id"), "split", "source").agg(F.count("*").alias("k"))
+    return held.join(hits, "eval_id").groupBy("split", "source").agg(F.sum(F.col("k") * F.col("n")).alias("n_pairs"), F.sum("k").alias("n_records"))

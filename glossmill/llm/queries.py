@@ -9,7 +9,7 @@ from glossmill.functions.text import is_missing
 from glossmill.llm.canonical import closest_entries, mapped_fields, with_language
 from glossmill.llm.leaks import leaked
 from glossmill.llm.lookalike import consistent_values
-from glossmill.llm.overlap import cross_split_pairs
+from glossmill.llm.overlap import cross_split_pairs, overlap_report
 from glossmill.llm.packing import pack
 from glossmill.llm.sentences import split_sentences
 from glossmill.llm.splits import update
@@ -27,8 +27,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     """Leaked evaluation records and pairs per split and source."""
-    pairs = cross_split_pairs(table(spark, folder, "items"), table(spark, folder, "ref_values"))
-    return pairs.groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_row").alias("n_records"))
+    return overlap_report(table(spark, folder, "items"), table(spark, folder, "ref_values"))
 
 
 def _component_table(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
