@@ -10,7 +10,7 @@ from glossmill.llm.canonical import closest_entries, mapped_fields, with_languag
 from glossmill.llm.leaks import leaked
 from glossmill.llm.lookalike import consistent_values
 from glossmill.llm.overlap import cross_split_pairs, overlap_report
-from glossmill.llm.packing import pack
+from glossmill.llm.packing import pack, packing_report
 from glossmill.llm.sentences import split_sentences
 from glossmill.llm.splits import update
 from glossmill.session import durable
@@ -77,10 +77,8 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers, tokens and unused share."""
-    boxes = pack(table(spark, folder, "documents").select("doc_id", "text", "n_tokens"))
-    per = boxes.groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
-    return per.agg(F.count("*").alias("n_containers"), F.sum("t").alias("n_tokens"), (1 - F.sum("t") / (F.count("*") * 2048)).alias("unused_share"), F.max("t").alias("fullest"))
+    """Windows, tokens and unused share per tier, and containers over all."""
+    return packing_report(pack(table(spark, folder, "documents").select("doc_id", "text", "n_tokens")))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from glossmill.llm.leaks import Index, fold, leaked, shingles
-from glossmill.llm.packing import pack, token_count
+from glossmill.llm.packing import combine_windows, pack, pack_windows, packing_report, token_count
 from glossmill.llm.sentences import sentence_spans, split_sentences
 
 
@@ -30,6 +30,28 @@ def test_pack_places_everything_once(spark):
             at += r.n_tokens
         assert at <= 2048
     assert len(boxes) <= sum(sizes) / 2048 * 1.05 + 2
+    windows, steps = {}, {}
+    for r in rows:
+        windows.setdefault((r.container_id, r.window), []).append(r)
+        steps.setdefault(r.step, set()).add(r.container_id)
+    for ws in windows.values():
+        ws.sort(key=lambda r: r.start_token)
+        assert sum(w.n_tokens for w in ws) <= ws[0].tier and all(x.start_token + x.n_tokens == y.start_token for x, y in zip(ws, ws[1:]))
+    assert len({w for _, w in windows}) == len(windows)  # a window lies in one container
+    assert max(map(len, steps.values())) - min(map(len, steps.values())) <= 1
+    report = {r.tier: r for r in packing_report(pack(df)).collect()}
+    assert report["all"].n_units == len(boxes) and report["all"].n_tokens == sum(sizes) and report["all"].fullest <= 2048
+    assert sum(report[k].n_tokens for k in ("2048", "1024", "512") if k in report) == sum(sizes)
+
+
+def test_tiers_decide_the_place():
+    # longest first: 1,500 leaves a gap of 548, which takes 520 (tier 1,024) rather than a second 1,024 window
+    where, tiers = pack_windows([1500, 900, 520, 500, 100, 28, 12], [2048, 1024, 512])
+    assert tiers == [2048, 1024, 512]
+    assert where == [0, 1, 0, 2, 1, 0, 1]
+    # without tiers the 500 would join the 900 in a container of 2,048
+    assert pack_windows([1500, 900, 520, 500, 100, 28, 12], [2048])[0][3] == 1
+    assert combine_windows([1024, 512, 512, 2048, 10], 2048) == [1, 1, 1, 0, 2]
 
 
 def test_pack_counts_missing_sizes_and_empty_tables(spark):
