@@ -6,7 +6,7 @@ import pytest
 
 from glossmill.llm.leaks import Index, fold, leaked, shingles
 from glossmill.llm.packing import combine_windows, pack, pack_windows, packing_report, token_count
-from glossmill.llm.sentences import sentence_spans, split_sentences
+from glossmill.llm.sentences import ALONE, Model, best_path, fit, lattice, sentence_spans, split_sentences
 
 
 def test_pack_places_everything_once(spark):
@@ -115,6 +115,7 @@ CASES = {
     "M. P. Davin kopierte z. B. 3 Karten, usw. Mehr am 3. Mai um 9.30 Uhr.": ["M. P. Davin kopierte z. B. 3 Karten, usw.", "Mehr am 3. Mai um 9.30 Uhr."],
     "He saw Mr. Gulit, etc. and left… then slept. No. 9 stayed in list_2.csv.": ["He saw Mr. Gulit, etc. and left… then slept.", "No. 9 stayed in list_2.csv."],
     "1. 他说：“好！坏？”天黑了……但是晴。“走吧！”小玥说。平均1,900.93页。": ["1. 他说：“好！坏？”", "天黑了……但是晴。", "“走吧！”小玥说。", "平均1,900.93页。"],
+    "3. “他走了！”小玥说。阿甜说：“好。”“坏？”小荷问道。": ["3. “他走了！”小玥说。", "阿甜说：“好。”", "“坏？”小荷问道。"],
     "One ends.Two starts (quite gladly!) so on\nand on. Three": ["One ends.", "Two starts (quite gladly!) so on\nand on.", "Three"],
 }
 
@@ -125,6 +126,71 @@ def test_sentence_examples(text):
     assert [text[a:b] for a, b in spans] == CASES[text]
 
 
+def unpruned(block, chinese, model):
+    """Best sum over all boundaries and all spans, and the sum of given boundaries (positions)."""
+    l = lattice(block, chinese, model, pruned=False)
+    n = len(l.ends)
+
+    def span(i, j):
+        lone = ALONE if l.alone.get(i) == l.ends[j] and j < n - 1 else 0.0
+        return model.length_score(l.ends[j] - l.starts[i], chinese) + lone + (l.gains[j] if j < n - 1 else 0.0)
+
+    best = [0.0]
+    for j in range(n):
+        best.append(max(best[i] + span(i, j) for i in range(j + 1)))
+
+    def total(ends):
+        i, s = 0, 0.0
+        for e in ends:
+            j = l.ends.index(e)
+            s, i = s + span(i, j), j + 1
+        return s
+
+    return best[n], total
+
+
+def test_the_programme_equals_the_unpruned_one():
+    rng = random.Random(4)
+    model = Model({"b": -3.5, "ab": 0.7, "录": -1.0}, {"A": 0.4, "B": -0.9}, {False: (1.8, 0.4), True: (1.5, 0.3)})
+    for k in range(600):
+        block = "".join(rng.choice(["ab", "A", "B", " ", ". ", "! ", "…", "。", "，", "“", "”", "(", ")", "录", "1", ".", ": “ab.” ", "2. “录。”录。"]) for _ in range(rng.randint(1, 60)))
+        if not block.strip():
+            continue
+        for m in (model, Model()):
+            l = lattice(block, k % 2 == 0, m)
+            best, total = unpruned(block, k % 2 == 0, m)
+            assert abs(total([l.ends[j] for j in best_path(l, m)]) - best) < 1e-6, block
+
+
+def test_length_and_words_decide_where_marks_leave_it_open():
+    tail = "x" * 40
+    soft = f"{tail}… {tail}"
+    assert sentence_spans(soft) == [(0, len(soft))]
+    text = "He paid approxim. Two coins lay there."
+    assert len(sentence_spans(text)) == 2 and len(sentence_spans(text, Model({"approxim": -8.0}))) == 1
+    # the same mark cuts or not by the length of what it would leave
+    short = "Ab… Cd"
+    assert len(sentence_spans(short, Model(length={False: (4.3, 0.2), True: (3.2, 0.5)}, opening={"Cd": -1.0}))) == 1
+    assert len(sentence_spans(short, Model(length={False: (0.7, 0.2), True: (3.2, 0.5)}, opening={"Cd": -1.0}))) == 2
+
+
+def test_fit_learns_from_certain_marks(spark):
+    texts = ["The dog ran zzt. the long way home. Then the Cat slept.\n\nThe end came."] * 200 + ["小猫睡了。\n\n小狗也睡了！"] * 60
+    model = fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert model.closing["zzt"] < -4 and model.closing["came"] > 0 and model.opening["The"] > 0 > model.opening["Cat"]
+    assert abs(model.length[True][0] - 1.7) < 0.2
+    assert fit(spark.createDataFrame([], "doc_id bigint, text string")) == Model()
+
+
+def test_many_marks_take_little_time():
+    import time
+
+    for text in ("x… " * 8_000, "X… " * 8_000, "“x。”" * 6_000, "a.b" * 8_000, "Ab c. " * 4_000, "z. " * 8_000):
+        began = time.time()
+        sentence_spans(text)
+        assert time.time() - began < 2.0
+
+
 def test_sentence_spans_cover_and_are_ordered(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choice('ab A.!?…。，“”„«»()—\n" 录1') for _ in range(rng.randint(0, 200))) for _ in range(300)] + ["a. " * 5_000, "(" * 3_000 + "x. Y."]
