@@ -169,9 +169,10 @@ def test_length_and_words_decide_where_marks_leave_it_open():
     text = "He paid approxim. Two coins lay there."
     assert len(sentence_spans(text)) == 2 and len(sentence_spans(text, Model({"approxim": -8.0}))) == 1
     # the same mark cuts or not by the length of what it would leave
-    short = "Ab… Cd"
-    assert len(sentence_spans(short, Model(length={False: (4.3, 0.2), True: (3.2, 0.5)}, opening={"Cd": -1.0}))) == 1
-    assert len(sentence_spans(short, Model(length={False: (0.7, 0.2), True: (3.2, 0.5)}, opening={"Cd": -1.0}))) == 2
+    short, doubt = "Ab. Cd", {"ab": -3.4}
+    assert len(sentence_spans(short, Model(doubt, length={False: (1.8, 0.3), True: (3.2, 0.5)}))) == 1
+    assert len(sentence_spans(short, Model(doubt, length={False: (0.9, 0.3), True: (3.2, 0.5)}))) == 2
+    assert len(sentence_spans("Now she slept… Cd", Model(length={False: (3.0, 0.3), True: (3.2, 0.5)}, opening={"Cd": -1.0}))) == 2
 
 
 def test_fit_learns_from_certain_marks(spark):
