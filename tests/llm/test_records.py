@@ -8,7 +8,7 @@ import pytest
 from glossmill.llm.canonical import closest_entries
 from glossmill.llm.lookalike import consistent_values
 from glossmill.llm.overlap import cross_split_pairs, near_pairs, ways
-from glossmill.llm.splits import PROPORTIONS, assign, components, update
+from glossmill.llm.splits import PROPORTIONS, assign, components, deal, read_components, update
 
 REFS = "ref_id bigint, field_name string, L1 string, canonical string, aliases string"
 WORD, SOURCE = "en_target_word", "L1_source_word"
@@ -64,27 +64,68 @@ def test_components_of_chains_and_cycles(spark):
 
 
 def test_assign_proportions(spark):
-    rows = [(f"k{i}", 1 + i % 7, None) for i in range(3_000)] + [("old", 500, "test")]
-    got = assign(spark.createDataFrame(rows, "component string, n bigint, split string")).collect()
-    total, per = sum(r.n for r in got), Counter()
+    rng = random.Random(2)
+    rows = [("huge", 9_000, None)] + [(f"h{i}", rng.randint(300, 1_500), None) for i in range(8)] + [(f"k{i}", 1 + i % 7, None) for i in range(3_000)] + [("old", 500, "test"), ("bad", 100, "quarantine")]
+    got = assign(spark.createDataFrame(rows, "component string, n bigint, split string"), totals={"dev": 50}).collect()
+    total, per = sum(r.n for r in got) + 50, Counter({"dev": 50})
     for r in got:
         per[r.split] += r.n
-    assert len(got) == 3_001 and all(abs(per[s] / total - p) < 0.04 for s, p in PROPORTIONS.items())
+    assert len(got) == len(rows) == len({r.component for r in got})
+    # the proportions are of all rows, kept and quarantined ones too: what is left is shared by what each split lacks
+    lack = {s: max(0.0, p * total - {"test": 500, "dev": 50}.get(s, 0)) for s, p in PROPORTIONS.items()}
+    new = total - 650
+    assert all(abs(per[s] - {"test": 500, "dev": 50}.get(s, 0) - lack[s] / sum(lack.values()) * new) <= 2 for s in PROPORTIONS)
     assert next(r.split for r in got if r.component == "old") == "test"
+    assert assign(spark.createDataFrame([], "component string, n bigint, split string")).count() == 0
 
 
-def test_update_keeps_and_quarantines(spark):
+def test_deal_equals_one_by_one():
+    rng = random.Random(6)
+    for _ in range(200):
+        sizes = sorted({rng.randint(1, 50): rng.randint(1, 40) for _ in range(rng.randint(1, 8))}.items(), reverse=True)
+        lack = {"a": rng.uniform(0, 90), "b": rng.uniform(0, 20), "c": rng.choice([0.0, -5.0, 10.0])}
+        whole = sum(max(v, 0) for v in lack.values())
+        owed = [0.0] * 3
+        for (size, number), (s, got) in zip(sizes, deal(sizes, lack)):
+            owed = [o + max(v, 0) / whole * size * number for o, v in zip(owed, lack.values())]
+            assert s == size and sum(got) == number
+            owed = [o - g * size for o, g in zip(owed, got)]
+            assert max(owed) - min(owed[i] for i in range(3) if got[i]) <= size + 1e-6  # nobody got one that another was owed more
+        assert abs(sum(owed)) < 1e-6
+
+
+def test_update_keeps_and_quarantines(spark, tmp_path):
     e = lambda *x: spark.createDataFrame(list(x), "a string, b string")
     w = lambda *x: spark.createDataFrame(list(x), "node string, n bigint")
-    first = update(spark, None, e(("a", "b"), ("c", "d")), w(("a", 80), ("b", 1), ("c", 10), ("d", 1), ("t", 10)))
-    was = {r.node: r.split for r in first.collect()}
-    assert was["a"] == was["b"] == "train" and was["c"] == was["d"] != "train"
-    second = {r.node: (r.split, r.n, r.conflict) for r in update(spark, first, e(("b", "n"), ("d", "t")), w(("n", 5), ("a", 2))).collect()}
-    assert second["n"] == ("train", 5, False) and second["a"][1] == 82
-    joined = {second[k][0] for k in "cdt"}
-    assert joined == ({"quarantine"} if was["c"] != was["t"] else {was["c"]})
-    third = {r.node: r.split for r in update(spark, update(spark, first, e(("b", "d")), w(("b", 1))), e(("a", "z")), w(("z", 1))).collect()}
-    assert third["z"] == third["a"] == third["c"] == "quarantine"
+    path = str(tmp_path / "c")
+    update(spark, path, 0, e(("a", "b"), ("c", "d"), (None, "a")), w(("a", 80), ("b", 1), ("c", 10), ("d", 1), ("t", 10), ("q", 3), (None, 4)))
+    was = {r.node: r.split for r in read_components(spark, path, 1).collect()}
+    assert was["a"] == was["b"] == "train" and was["c"] == was["d"] and set(was) == set("abcdtq")
+    update(spark, path, 1, e(("b", "n"), ("d", "a")), w(("n", 5), ("a", 2)))
+    second = {r.node: r for r in read_components(spark, path, 2).collect()}
+    joined = "train" if was["c"] == "train" else "quarantine"
+    assert {second[k].split for k in "abcdn"} == {joined} and {second[k].component for k in "abcdn"} == {"a"} and second["n"].n == 99
+    assert second["t"].split == was["t"] and second["q"].split == was["q"]
+    # untouched components are not written again
+    assert {r.component for r in spark.read.parquet(f"{path}/states/batch=1").collect()} == {"a"}
+    update(spark, path, 2, e(("t", "q"), ("q", "b")), w(("z", 1)))
+    third = {r.node: r for r in read_components(spark, path, 3).collect()}
+    assert {third[k].component for k in "abcdntq"} == {"a"} and third["t"].n == 112 and third["z"].split in PROPORTIONS
+    assert third["t"].split == ("quarantine" if {joined, was["t"], was["q"]} != {joined} else joined)
+    update(spark, path, 2, e(("t", "q"), ("q", "b")), w(("z", 1)))  # a batch that runs again replaces itself
+    assert {(r.node, r.component, r.n, r.split) for r in read_components(spark, path, 3).collect()} == {(r.node, r.component, r.n, r.split) for r in third.values()}
+
+
+def test_batches_find_the_components_of_all(spark, tmp_path):
+    rng = random.Random(11)
+    edges = [(f"n{rng.randrange(90):02d}", f"n{rng.randrange(90):02d}") for _ in range(60)]
+    frame = lambda x: spark.createDataFrame(x, "a string, b string")
+    weights = lambda x: spark.createDataFrame([(n, 1) for pair in x for n in pair], "node string, n bigint")
+    update(spark, f"{tmp_path}/one", 0, frame(edges), weights(edges))
+    for b in range(3):
+        update(spark, f"{tmp_path}/three", b, frame(edges[b * 20 : b * 20 + 20]), weights(edges[b * 20 : b * 20 + 20]))
+    one, three = ({r.node: (r.component, r.n) for r in read_components(spark, f"{tmp_path}/{name}", k).collect()} for name, k in (("one", 1), ("three", 3)))
+    assert one == three and sum({c: n for c, n in one.values()}.values()) == 120
 
 
 def numbered(words):
