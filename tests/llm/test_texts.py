@@ -97,6 +97,34 @@ def test_leaks_against_brute_force(spark):
     assert want and set(rows) == want and len(rows) == len(want)
 
 
+def test_search_equals_scoring_all():
+    rng = random.Random(12)
+    passages = [(i, "de", " ".join(words(rng, rng.randint(13, 40)))) for i in range(400)]  # lists of many blocks
+    index = Index(passages, "word")
+    terms = sorted(index.postings)
+    assert max(len(x[3]) for x in index.postings.values()) >= 1
+    skewed = Index([(i, "de", " ".join(f"w{(i + k) % 3 if rng.random() < 0.97 else rng.randrange(9)}" for k in range(20))) for i in range(500)], "word")
+    assert max(len(x[3]) for x in skewed.postings.values()) > 3
+    for ix, pool in ((index, terms), (skewed, sorted(skewed.postings))):
+        for _ in range(150):
+            asked = set(rng.sample(pool, min(len(pool), rng.randint(1, 60)))) | {"w0 w0 w0 w0 nothing"}
+            scores = {}
+            for t in asked & ix.postings.keys():
+                for p, s in zip(*ix.postings[t][:2]):
+                    scores[p] = scores.get(p, 0.0) + s
+            want = {p for p, s in scores.items() if s >= ix.least[p] + 1e-6}
+            got = ix.search(asked)
+            assert len(got) == len(set(got)) and want <= set(got) <= {p for p, s in scores.items() if s >= ix.least[p] - 1e-6}
+
+
+def test_many_blocks_in_one_pass(spark):
+    rng = random.Random(13)
+    passages = [(i, "de", " ".join(words(rng, 20))) for i in range(60)]
+    docs = [(i, "so " + t) for i, _, t in passages]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "passage_id bigint, lang string, text string")
+    assert sorted(map(tuple, leaked(*frames, block_chars=300).collect())) == sorted(map(tuple, leaked(*frames).collect()))
+
+
 def test_leaks_see_through_disguise(spark):
     text = "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn"
     docs = [(1, "Vorher. EINS  zwei,\ndrei vier fünf sеchs sieben acht n­eun zehn elf zwolf dreizehn!"), (2, text.rsplit(" ", 1)[0]), (3, "viel " * 20_000 + text)]
