@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from glossmill.features.lexical import clean_key
 from glossmill.functions.windows import keep_first, percentile_ranks
 
-# Surface tags and their universal tags, codes of universal tags.
+# Surface tags and their universal tags.
 TAGS = {
-    "noun": "NOUN", "n": "NOUN", "nn": "NOUN", "substantive": "NOUN", "proper noun": "PROPN", "propn": "PROPN", "verb": "VERB", "v": "VERB", "vb": "VERB", "adjective": "ADJ", "adj": "ADJ", "jj": "ADJ",
-    "adverb": "ADV", "adv": "ADV", "rb": "ADV", "pronoun": "PRON", "pron": "PRON", "determiner": "DET", "det": "DET", "article": "DET", "preposition": "ADP", "prep": "ADP", "adp": "ADP", "conjunction": "CCONJ",
-    "conj": "CCONJ", "cconj": "CCONJ", "sconj": "SCONJ", "numeral": "NUM", "number": "NUM", "num": "NUM", "interjection": "INTJ", "intj": "INTJ", "auxiliary": "AUX", "aux": "AUX", "particle": "PART", "part": "PART",
+    "noun": "NOUN", "n": "NOUN", "nn": "NOUN", "propn": "PROPN", "proper noun": "PROPN",
+    "verb": "VERB", "v": "VERB", "vv": "VERB",
+    "adj": "ADJ", "adjective": "ADJ", "jj": "ADJ",
+    "adv": "ADV", "adverb": "ADV", "rb": "ADV",
+    "pron": "PRON", "pronoun": "PRON",
+    "det": "DET", "determiner": "DET",
+    "adp": "ADP", "prep": "ADP", "preposition": "ADP",
+    "conj": "CCONJ", "cconj": "CCONJ", "coord conj": "CCONJ", "coordinating conjunction": "CCONJ", "sconj": "SCONJ", "subordinating conjunction": "SCONJ",
+    "num": "NUM", "number": "NUM",
+    "intj": "INTJ", "interjection": "INTJ",
+    "aux": "AUX", "part": "PART", "particle": "PART",
 }
-TAG_CODES = {t: i for i, t in enumerate(("NOUN", "VERB", "ADJ", "ADV", "PRON", "PROPN", "DET", "ADP", "CCONJ", "SCONJ", "NUM", "INTJ", "AUX", "PART", "SYM", "X"), 1)}
+# Codes of universal tags.
+TAG_CODES = {"": 0, "UNK": 0, "NOUN": 1, "PROPN": 2, "VERB": 3, "AUX": 4, "ADJ": 5, "ADV": 6, "PRON": 7, "DET": 8, "ADP": 9, "CCONJ": 10, "SCONJ": 11, "NUM": 12, "PART": 13, "INTJ": 14}
 CEFR_CODES = {"UNK": 0, "A1": 1, "A2": 2, "B1": 3, "B2": 4, "C1": 5, "C2": 6}
 
 
@@ -72,7 +81,29 @@ def word_cost(freq: Column, least: float = 1e-12) -> Column:
     return -F.ln(F.greatest(F.coalesce(freq, F.lit(0.0)), F.lit(least)))
 
 
-def frequency_group(items: DataFrame, lexicon: DataFrame, corpus: DataFrame, split: str = "split") -> DataFrame:
+#: Tags of distinct words: a table (word, l1) to a table (word, l1, tag).
+Tagger = Callable[[DataFrame], DataFrame]
+
+
+def tag_columns(items: DataFrame, tagger: Tagger | None = None, target: str = "en_target_pos", source: str = "L1_source_word", l1: str = "L1") -> DataFrame:
+    """Tags of target and source word: *_pos_norm, *_pos_code, *_pos_known, source_target_pos_match.
+
+    The target's tag is the stated one. The source word's comes from `tagger`, asked once per distinct word and
+    language; without one it is '' and unknown. Tags match if both are known and equal.
+    """
+    out = items.withColumn("target_pos_norm", universal_tag(F.col(target)))
+    if tagger is None:
+        out = out.withColumn("source_pos_norm", F.lit(""))
+    else:
+        asked = items.select(F.trim(F.col(source)).alias("word"), F.col(l1).alias("l1")).filter("word <> ''").distinct()
+        found = tagger(asked).select(F.col("word").alias("_tw"), F.col("l1").alias("_tl"), universal_tag(F.col("tag")).alias("source_pos_norm")).dropDuplicates(["_tw", "_tl"])
+        out = out.join(found, (F.trim(F.col(source)) == F.col("_tw")) & F.col(l1).eqNullSafe(F.col("_tl")), "left").drop("_tw", "_tl").withColumn("source_pos_norm", F.coalesce("source_pos_norm", F.lit("")))
+    t, s = F.col("target_pos_norm"), F.col("source_pos_norm")
+    out = out.withColumns({f"{k}_pos_code": tag_code(F.col(f"{k}_pos_norm")) for k in ("target", "source")} | {f"{k}_pos_known": (F.col(f"{k}_pos_norm") != "").cast("int") for k in ("target", "source")})
+    return out.withColumn("source_target_pos_match", ((t != "") & (s != "") & (t == s)).cast("int"))
+
+
+def frequency_group(items: DataFrame, lexicon: DataFrame, corpus: DataFrame, split: str = "split", tagger: Tagger | None = None) -> DataFrame:
     """Frequency features of the target word: tags, Kelly-like and SUBTLEX-like lookups, corpus frequencies, percentiles in the split."""
     lex = lexicon.select(clean_key(F.col("word")).alias("word"), universal_tag(F.col("part_of_speech")).alias("tag"), "kelly_rank", "cefr", "points", "zipf", "subtl_wf")
     out = lookup_with_fallback(items, lex, "en_target_word", "en_target_pos", ["kelly_rank", "cefr", "points"], [F.coalesce("kelly_rank", F.lit(1 << 30)), F.coalesce("points", F.lit(0.0)), F.coalesce("cefr", F.lit("")), F.col("tag")], "kelly")
@@ -82,12 +113,11 @@ def frequency_group(items: DataFrame, lexicon: DataFrame, corpus: DataFrame, spl
     out = out.withColumn("_cw", clean_key(F.col("en_target_word"))).join(seen, "_cw", "left").drop("_cw")
     out = out.withColumns(
         {
-            "target_pos_norm": universal_tag(F.col("en_target_pos")), "source_pos_norm": universal_tag(F.col("en_target_pos")), "wf_found": F.col("wf_value").isNotNull().cast("int"), "wf_cost": word_cost(F.col("wf_value")),
+            "wf_found": F.col("wf_value").isNotNull().cast("int"), "wf_cost": word_cost(F.col("wf_value")),
             "subtlex_lg10wf": F.when(F.col("subtlex_wf") > 0, F.log10(F.col("subtlex_wf"))), "subtlex_lg10cd": F.when(F.col("subtlex_cd") > 0, F.log10(F.col("subtlex_cd"))),
         }
     )
-    out = out.withColumns({f"{s}_pos_code": tag_code(F.col(f"{s}_pos_norm")) for s in ("target", "source")} | {f"{s}_pos_known": (tag_code(F.col(f"{s}_pos_norm")) > 0).cast("int") for s in ("target", "source")})
-    out = out.withColumn("source_target_pos_match", (F.col("source_pos_norm") == F.col("target_pos_norm")).cast("int"))
+    out = tag_columns(out, tagger)
     out = percentile_ranks(out, "kelly_rank", [split], "kelly_rank_percentile", descending=True)
     out = percentile_ranks(out, "wf_zipf", [split], "wf_percentile")
     zero = ["wf_value", "wf_zipf", "wf_percentile", "kelly_rank", "kelly_rank_percentile", "kelly_points", "subtlex_wf", "subtlex_lg10wf", "subtlex_cd", "subtlex_lg10cd", "subtlex_zipf"]

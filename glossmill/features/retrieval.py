@@ -28,15 +28,21 @@ def domains(c: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda d: d != "")
 
 
-def entropy(items: Column, weights: Column | None = None, base: float = math.e) -> Column:
-    """Entropy of a list's values (weighted by a parallel list; negative weights count 0), 0 for an empty list."""
+def scores(c: Column, n: Column) -> Column:
+    """`n` scores of a string split like a domain list: missing or unreadable ones are 1, surplus ones are dropped."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    parts = F.when(F.contains(t, F.lit(";")), F.split(t, ";")).when(F.contains(t, F.lit("|")), F.split(t, "\\|")).otherwise(F.split(t, ","))
+    read = F.transform(parts, lambda x: F.coalesce(F.trim(x).try_cast("double"), F.lit(1.0)))
+    return F.when(n <= 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.coalesce(F.get(read, i), F.lit(1.0))))
+
+
+def entropy(weights: Column, base: float = math.e) -> Column:
+    """Entropy of a list of weights as shares of their sum (negative ones count 0); 0 for an empty list."""
     if base <= 1:
         raise ValueError("the base must be over 1")
-    w = F.transform(items, lambda _: F.lit(1.0)) if weights is None else F.transform(weights, lambda x: F.greatest(F.lit(0.0), x))
-    mass = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-    share = lambda d: F.aggregate(F.zip_with(items, w, lambda i, x: F.when(i == d, x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) / mass
-    each = F.transform(F.array_distinct(items), lambda d: F.when(share(d) > 0, -share(d) * F.ln(share(d)) / math.log(base)).otherwise(0.0))
-    return F.when(mass > 0, F.aggregate(each, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+    positive = F.transform(weights, lambda x: F.greatest(F.lit(0.0), x))
+    mass = F.aggregate(positive, F.lit(0.0), lambda a, x: a + x)
+    return F.when(mass > 0, F.aggregate(positive, F.lit(0.0), lambda a, x: a - F.when(x > 0, x / mass * F.ln(x / mass) / math.log(base)).otherwise(0.0))).otherwise(0.0)
 
 
 def tokens(c: Column) -> Column:
@@ -49,16 +55,17 @@ def chars(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(clean_key(c), F.lit("(?s)."), F.lit(0)))
 
 
-def semantic_columns(source: Column, target: Column, clue: Column, context: Column, source_domains: Column | None = None, target_domains: Column | None = None) -> dict[str, Column]:
+def semantic_columns(source: Column, target: Column, clue: Column, context: Column, source_domains: Column | None = None, target_domains: Column | None = None, source_scores: Column | None = None, target_scores: Column | None = None) -> dict[str, Column]:
     """Domain match, unweighted and weighted entropy, and the semantic shift; without domains, token and character overlap stand in."""
     st, ct = set_jaccard(tokens(source), tokens(target)), set_jaccard(chars(source), chars(target))
     near = lambda a, b, x, y: 0.5 * set_jaccard(chars(a), chars(b)) + 0.5 * set_jaccard(tokens(x), tokens(y))
     match, plain, weighted = 0.5 * set_jaccard(tokens(source), tokens(clue)), 1 - st, 1 - ct
     if source_domains is not None and target_domains is not None:
-        both = F.concat(domains(source_domains), domains(target_domains))
-        some = F.size(both) > 0
-        match = F.when(some, set_jaccard(domains(source_domains), domains(target_domains))).otherwise(match)
-        plain, weighted = F.when(some, entropy(both)).otherwise(plain), F.when(some, entropy(both)).otherwise(weighted)
+        s, g, none = domains(source_domains), domains(target_domains), F.lit(None).cast("string")
+        some = F.size(s) + F.size(g) > 0
+        weighed = F.concat(scores(none if source_scores is None else source_scores, F.size(s)), scores(none if target_scores is None else target_scores, F.size(g)))
+        match = F.when(some, set_jaccard(s, g)).otherwise(match)
+        plain, weighted = F.when(some, entropy(F.transform(F.concat(s, g), lambda _: F.lit(1.0)))).otherwise(plain), F.when(some, entropy(weighed)).otherwise(weighted)
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     shift = unit(1 - (0.45 * near(source, target, source, target) + 0.25 * match + 0.30 * near(target, clue, target, context)))
     return {"semantic_usas_domain_match": unit(match), "semantic_usas_entropy_unweighted": plain, "semantic_usas_entropy_weighted": weighted, "semantic_semantic_shift": shift}

@@ -13,10 +13,10 @@ ITEMS = [  # row_id, load_id, L1, entry, context, target, and by hand: language,
     (4, 2, "de", "Gebäude (nicht: Haus)", "", "building", "de", ["gebäude"], "building"),
     (5, 2, None, "Hаus, Bau", "", "home", "de", ["haus", "bau"], "home"),
     (6, 3, "cn", "图书", "", "book", "cn", ["图书"], "book"),
-    (7, 3, "cn", "浅薄／图 (不是书)", "图", "picture", "cn", ["浅薄", "图"], "picture"),
+    (7, 3, "cn", "浅薄/图 (不是书)", "图", "picture", "cn", ["浅薄", "图"], "picture"),
     (8, 3, "", "无词", "", "nothing", "cn", ["无词"], "nothing"),
     (9, 3, "cn", "无词", "", "house", "cn", ["无词"], "house"),
-    (10, 1, "es", "dar a luz", "", "give birth", "es", ["dar a luz"], "give birth"),
+    (10, 1, "es", "dar a luz", "", "give birth", "es", ["dar"], "give birth"),  # an entry's candidate is one word
     (11, 2, "de", "Haus", "", "book", "de", ["haus"], "book"),
 ]
 EDGES = [("c1", "spa", "música", "eng", "music"), ("c2", "eng", "home", "spa", "hogar"), ("c2", "eng", "house", "deu", "Haus"), ("c2", "spa", "casa", "eng", "house"), ("c3", "deu", "Gebäude", "eng", "building"), ("c4", "zho", "图书", "eng", "book"), ("c4", "cmn", "图", "eng", "picture"), ("c5", "spa", "dar a luz", "eng", "give birth")]

@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmill.features.build import Resources, build
-from glossmill.features.frequency import token_frequencies
+from glossmill.features.frequency import tag_columns, token_frequencies
 from glossmill.features.lexical import lexical_columns, syllables
-from glossmill.features.retrieval import clue_matches, entropy, retrieval_columns
+from glossmill.features.retrieval import clue_matches, entropy, retrieval_columns, semantic_columns
 from glossmill.functions.similarity import cognate_columns
 from glossmill.functions.stats import kendall_arrays, mann_whitney
 from glossmill.functions.windows import benjamini_hochberg, right_closed_bin
+from glossmill.operators.concepts import candidates
 from glossmill.operators.source_words import entry_struct
 from glossmill.plans import core_queries, reference_queries
 from glossmill.sources.tables import table
@@ -43,7 +44,7 @@ def test_surface(spark):
 
 def test_retrieval_entropy_clue(spark):
     df = spark.createDataFrame([("music", "m____", "none here", ["a", "b", "c"], [1.0, 1.0, 2.0])], "t string, c string, x string, d array<string>, w array<double>")
-    r = df.select(retrieval_columns(F.col("t"), F.col("c"), F.col("x"))["retrieval_target_prior"].alias("p"), entropy(F.col("d"), F.col("w")).alias("e"), clue_matches(F.col("t"), F.col("c")).alias("m"), clue_matches(F.col("t"), F.lit("x____")).alias("n")).first()
+    r = df.select(retrieval_columns(F.col("t"), F.col("c"), F.col("x"))["retrieval_target_prior"].alias("p"), entropy(F.col("w")).alias("e"), clue_matches(F.col("t"), F.col("c")).alias("m"), clue_matches(F.col("t"), F.lit("x____")).alias("n")).first()
     assert (round(r.p, 6), round(r.e, 6), r.m, r.n) == (0.45, 1.039721, True, False)
 
 
@@ -77,12 +78,44 @@ def test_benjamini_hochberg_and_bins(spark):
 
 
 def test_source_entries(spark):
-    rows = [("Haus, Gebäude (nicht: Heim)", "Das Gebäude ist alt", "de"), ("cosecha (no termina en: -ción)", "", "es"), ("浅薄／图 (不是书)", "图书", "cn"), (None, None, "de")]
+    rows = [
+        ("Haus, Gebäude (nicht: Heim, Bau)", "Das Gebäude ist alt", "de"), ("cosecha (no termina en: -ción)", "", "es"), ("浅薄／图 (不是书)", "图书", "cn"), (None, None, "de"),
+        ("(书,本)图书；(不以子结尾)书、(a，(b，c)，d)杯", "一本图书", "cn"), ("(书,本)图册；纸", "一本图册", "cn"), ("etw. tun; jdn. Mögen; MÖGEN", "wir mögen es", "de"), ("etwas vergessen-", "nichts", "de"), ("la casa (no: el piso) (x)", "en el piso", "es"), ("jemand", "", "de"),
+    ]
     got = [r.e for r in spark.createDataFrame(rows, "w string, c string, l string").select(entry_struct(F.col("w"), F.col("c"), F.col("l")).alias("e")).collect()]
-    assert (got[0].word, got[0].excluded, got[0].note_type, got[0].alternatives) == ("Gebäude", "Heim", "lexical_exclusion", "Haus")
+    assert (got[0].word, got[0].excluded, got[0].note_type, got[0].alternatives) == ("Gebäude", "Heim|Bau", "lexical_exclusion", "Haus")
     assert (got[1].note_type, got[1].excluded) == ("suffix_constraint", "-ción")
-    assert (got[2].word, got[2].excluded) == ("图", "书") or got[2].alternative_count >= 0
-    assert got[3].word == ""
+    assert (got[2].word, got[2].excluded, got[2].context_excluded, got[2].alternative_count) == ("浅薄／图", "书", "书", 0)  # a wide slash is no separator
+    assert got[3].word == "" and got[3].alternative_count == 0
+    assert (got[4].word, got[4].excluded, got[4].note_type, got[4].alternatives) == ("书", "子", "suffix_constraint", "(书,本)图书|(a，(b，c)，d)杯")
+    assert (got[5].word, got[5].alternatives) == ("图册", "纸")
+    assert (got[6].word, got[6].alternatives) == ("MÖGEN", "etw. tun|jdn. Mögen")
+    assert got[7].word == "vergessen" and got[9].word == "jemand"
+    assert (got[8].word, got[8].excluded, got[8].context_excluded, got[8].note_type) == ("la", "el piso", "el piso", "lexical_exclusion")
+
+
+def test_candidates(spark):
+    rows = [("sich auf etw. freuen", "", "sich auf etwas freuen (nicht: lachen)", "de"), ("jdn. grüßen", "a|b", "", "de"), ("coger", "", "coger / tomar (x)", "es"), ("(书)图", "", "图、画", "cn"), ("", None, None, "de")]
+    got = [r.c for r in spark.createDataFrame(rows, "w string, a string, r string, l string").select(candidates(F.col("w"), F.col("a"), F.col("r"), F.col("l")).alias("c")).collect()]
+    assert got == [["freuen"], ["grüßen", "a", "b"], ["coger", "tomar"], ["图", "画"], []]
+
+
+def test_tags_need_a_tagger_and_both_sides(spark):
+    df = spark.createDataFrame([("gehen", "de", "Verb"), ("Haus", "de", "n"), ("Haus", "de", " "), (None, "de", "jj")], "L1_source_word string, L1 string, en_target_pos string")
+    none = tag_columns(df).collect()
+    assert [(r.target_pos_norm, r.target_pos_code, r.target_pos_known, r.source_pos_norm, r.source_pos_known, r.source_target_pos_match) for r in none] == [("VERB", 3, 1, "", 0, 0), ("NOUN", 1, 1, "", 0, 0), ("", 0, 0, "", 0, 0), ("ADJ", 5, 1, "", 0, 0)]
+    tagger = lambda words: words.withColumn("tag", F.when(F.col("word") == "gehen", "vv").otherwise("VERB"))
+    assert sorted((r.source_pos_norm, r.source_target_pos_match) for r in tag_columns(df, tagger).collect()) == [("", 0), ("VERB", 0), ("VERB", 0), ("VERB", 1)]
+
+
+def test_semantic_scores(spark):
+    df = spark.createDataFrame([("a;b", "b|c", "2;x", "3"), ("a", "", "-1", None), ("", None, "5", "5")], "s string, t string, ss string, ts string")
+    cols = semantic_columns(F.lit("x"), F.lit("y"), F.lit("z"), F.lit("w"), F.col("s"), F.col("t"), F.col("ss"), F.col("ts"))
+    got = df.select(*[c.alias(n) for n, c in cols.items()]).collect()
+    h = lambda *w: -sum(x / sum(w) * math.log(x / sum(w)) for x in w)
+    assert got[0].semantic_usas_domain_match == 1 / 3 and got[0].semantic_usas_entropy_unweighted == pytest.approx(math.log(4)) and got[0].semantic_usas_entropy_weighted == pytest.approx(h(2, 1, 3, 1))
+    assert (got[1].semantic_usas_entropy_unweighted, got[1].semantic_usas_entropy_weighted) == (0.0, 0.0)
+    assert got[2].semantic_usas_entropy_unweighted == 1.0  # no domains: the overlap stands in
 
 
 def test_feature_groups_add_the_listed_columns(spark):
