@@ -58,4 +58,4 @@ def test_details_coverage_and_unmatched_of_all_items(spark, folder):
     for l1 in CODES:
         mine = [v for v in want.values() if v[0] == l1]
         assert got[l1] == (len(mine), round(sum(bool(v[1]) for v in mine) / len(mine), 6), round(sum(bool(v[2]) for v in mine) / len(mine), 6), sum(v[3] > 0 for v in mine), sum(bool(v[4]) for v in mine))
-    assert [tuple(r) for r in q.top_unmatched_all(spark, folder).collect()] == [("无词", 2)]
+    assert [tuple(r) for r in q.top_unmatched_all(spark, folder).collect()] == [("无词", 2), ("dar", 1)]
