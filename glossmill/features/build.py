@@ -99,7 +99,7 @@ def _baseline(df: DataFrame, r: Resources) -> DataFrame:
 
 
 #: Groups that read the table more than once; it is written before them, so plans don't multiply.
-REUSING = ("frequency", "mlm", "surprisal", "cognate", "mlm_predicted_word")
+REUSING = ("frequency", "lexical", "mlm", "surprisal", "cognate", "mlm_predicted_word")
 
 
 def build(items: DataFrame, resources: Resources, groups: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, list[str]]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions.similarity import shared_char_ratio
 from glossmill.functions.windows import scale_by_max
+from glossmill.operators.columns import replace_if_all_zero
 
 
 def clean_key(c: Column) -> Column:
@@ -53,4 +54,5 @@ def lexical_group(df: DataFrame, split: str = "split", target: str = "en_target_
     known = [F.col(f) for f in frequency if f in df.columns]
     out = out.withColumns({"freq_en": F.coalesce(*known, F.lit(0.0)), "freq_percentile": F.coalesce(*[F.col(c) for c in ("wf_percentile",) if c in df.columns], F.lit(0.0)), "syllables": F.col("target_syllables"), "clue_length": F.col("clue_len"), "pos_encoded": F.lit(-1)})
     out = scale_by_max(out, "source_len", [split], "source_char_len_norm")
-    return scale_by_max(out, "target_len", [split], "target_char_len_norm")
+    out = scale_by_max(out, "target_len", [split], "target_char_len_norm")
+    return replace_if_all_zero(out, {"freq_en": "wf_zipf", "freq_percentile": "wf_percentile", "syllables": "target_syllables", "clue_length": "clue_len"})

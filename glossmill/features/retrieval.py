@@ -25,7 +25,7 @@ def domains(c: Column) -> Column:
     """Lower-case domain list of a string split at the first separator present among ; | , without blanks."""
     t = F.lower(F.coalesce(c, F.lit("")))
     parts = F.when(F.contains(t, F.lit(";")), F.split(t, ";")).when(F.contains(t, F.lit("|")), F.split(t, "\\|")).otherwise(F.split(t, ","))
-    return F.filter(F.transform(parts, F.trim), lambda d: d != "")
+    return F.filter(F.transform(parts, lambda d: F.trim(d)), lambda d: d != "")
 
 
 def scores(c: Column, n: Column) -> Column:

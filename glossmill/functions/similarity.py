@@ -15,6 +15,7 @@ HALF_COST = ("ck", "fv", "iy", "sz", "uw", "gj")
 VOWELS = "aeiou"
 CHAR_WEIGHTS = (0.45, 0.40, 0.15)
 COGNATE_WEIGHTS = (0.35, 0.35, 0.30)
+LEXICON_SHARE = 0.3
 
 
 def unaccented_word(c: Column) -> Column:
@@ -91,8 +92,12 @@ def graph_signal(kind: Column, shared: Column) -> Column:
     return F.least(F.lit(1.0), base + F.when(shared > 1, F.least(F.lit(0.10), 0.02 * shared)).otherwise(0.0))
 
 
-def cognate_columns(df: DataFrame, source: str, target: str, kind: Column | None = None, shared: Column | None = None, least: int = 1) -> DataFrame:
-    """Add bigram_jaccard, lcs_ratio, prefix_suffix, char_sim, weighted_levenshtein_sim and cognate_sim of a word pair."""
+def cognate_columns(df: DataFrame, source: str, target: str, kind: Column | None = None, shared: Column | None = None, least: int = 1, lexicon: DataFrame | None = None, weights: tuple[float, float, float] = COGNATE_WEIGHTS) -> DataFrame:
+    """Add bigram_jaccard, lcs_ratio, prefix_suffix, char_sim, weighted_levenshtein_sim and cognate_sim of a word pair.
+
+    weights are taken as shares of their sum. lexicon: source, target, score (folded words); a pair it holds, either
+    way round, has its score mixed in by LEXICON_SHARE.
+    """
     keyed = df.withColumn("_a", unaccented_word(F.col(source))).withColumn("_b", unaccented_word(F.col(target)))
     out = keyed.join(alignments(keyed, "_a", "_b"), ["_a", "_b"], "left")
     out = out.withColumn("bigram_jaccard", F.when((F.col("_a") == F.col("_b")) & (F.col("_a") != ""), 1.0).otherwise(set_jaccard(bigram_set(F.col("_a")), bigram_set(F.col("_b")))))
@@ -100,7 +105,14 @@ def cognate_columns(df: DataFrame, source: str, target: str, kind: Column | None
     x, y, z = CHAR_WEIGHTS
     out = out.withColumn("char_sim", F.least(F.lit(1.0), x * F.col("bigram_jaccard") + y * F.col("lcs_ratio") + z * F.col("prefix_suffix")))
     signal = F.lit(0.0) if kind is None else graph_signal(kind, shared)
-    x, y, z = COGNATE_WEIGHTS
+    x, y, z = (w / sum(weights) for w in weights)
     score = x * F.col("char_sim") + y * F.col("weighted_levenshtein_sim") + z * signal
+    if lexicon is not None:
+        swapped = lexicon.select(F.col("target").alias("_a"), F.col("source").alias("_b"), "score", F.lit(1).alias("way"))
+        both = lexicon.select(F.col("source").alias("_a"), F.col("target").alias("_b"), "score", F.lit(0).alias("way")).unionByName(swapped)
+        best = both.groupBy("_a", "_b").agg(F.min_by("score", F.struct("way", (-F.col("score")).alias("s"))).alias("_lexicon"))
+        out = out.join(best, ["_a", "_b"], "left")
+        score = F.when(F.col("_lexicon").isNotNull(), (1 - LEXICON_SHARE) * score + LEXICON_SHARE * F.col("_lexicon")).otherwise(score)
     short = (F.length("_a") < least) | (F.length("_b") < least)
-    return out.withColumn("cognate_sim", F.when(short, 0.0).otherwise(F.least(F.lit(1.0), score))).drop("_a", "_b")
+    out = out.withColumn("cognate_sim", F.when(short, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))))
+    return out.withColumn("weighted_levenshtein_sim", F.when(short, 0.0).otherwise(F.col("weighted_levenshtein_sim"))).drop("_a", "_b", "_lexicon")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions.windows import average_ranks
+from glossmill.operators.checks import DataError
 
 
 def pearson(x: str | Column, y: str | Column) -> Column:
@@ -74,9 +75,9 @@ def kendall_arrays(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def kendall(df: DataFrame, x: str, y: str, groups: Sequence[str]) -> DataFrame:
-    """Kendall tau-b and p per group, exact, as a plan of joins and aggregates over distinct (x, y) values.
+    """Kendall tau-b and p per group, exact: groups, n, tau, p. An Arrow aggregate, so a group's pairs of numbers must fit a task (see kendall_arrays).
 
-    Small groups go to an Arrow aggregate; a group's distinct pairs must fit a task (see kendall_arrays).
+    Rows with a missing side don't count; tau is NULL where a side is constant or fewer than two rows are left.
     """
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,6 +90,13 @@ def kendall(df: DataFrame, x: str, y: str, groups: Sequence[str]) -> DataFrame:
     return kept.groupBy(*groups).applyInPandas(one, f"{types}, n bigint, tau double, p double")
 
 
+def with_tau(metrics: DataFrame, df: DataFrame, gold: str, pred: str, groups: Sequence[str] = (), least: int = 3) -> DataFrame:
+    """Metrics rows with tau and tau_p of gold and prediction, NULL for groups of fewer than `least` rows."""
+    own = df if groups else df.withColumn("_all", F.lit(1))
+    tau = kendall(own, gold, pred, groups or ["_all"]).select(*groups, F.when(F.col("n") >= least, F.col("tau")).alias("tau"), F.when(F.col("n") >= least, F.col("p")).alias("tau_p"))
+    return metrics.join(tau, list(groups), "left") if groups else metrics.crossJoin(F.broadcast(tau))  # one row
+
+
 def normal_sf2(z: Column) -> Column:
     """Two-sided normal tail probability by the Abramowitz-Stegun 7.1.26 formula (error under 2e-7)."""
     x = F.abs(z) / math.sqrt(2)
@@ -131,14 +139,74 @@ def bootstrap(df: DataFrame, key: str, metrics: dict[str, Column], resamples: in
     Every row gets a Poisson(1) weight per resample from a hash of its key, so resamples are the same under any
     partitioning and nothing is drawn on the driver. Metrics are aggregates over the column `w`.
     """
+    drawn = _draw(df, key, resamples, seed)
+    per = drawn.groupBy("b").agg(*[m.alias(name) for name, m in metrics.items()])
+    lo, hi = (1 - level) / 2, (1 + level) / 2
+    return per.unpivot(["b"], list(metrics), "metric", "v").groupBy("metric").agg(F.percentile("v", F.lit(lo)).alias("low"), F.percentile("v", F.lit(hi)).alias("high"))
+
+
+def _draw(df: DataFrame, key: str, resamples: int, seed: int) -> DataFrame:
+    """Rows with a Poisson(1) weight `w` for every resample `b`, zeros left out; weights come from a hash of the key."""
     u = F.pmod(F.xxhash64(F.col(key), F.col("b"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    cdf, steps, p = 0.0, [], math.exp(-1)
+    cdf, weight, p = 0.0, F.lit(0), math.exp(-1)
     for k in range(8):
         cdf += p
-        steps.append(cdf)
+        weight = weight + F.when(u >= cdf, 1).otherwise(0)
         p /= k + 1
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight).filter("w > 0")
-    per = drawn.groupBy("b").agg(*[m.alias(name) for name, m in metrics.items()])
-    lo, hi = (1 - level) / 2, (1 + level) / 2
-    return per.unpivot(["b"], list(metrics), "metric", "v").groupBy("metric").agg(F.percentile("v", F.lit(lo)).alias("low"), F.percentile("v", F.lit(hi)).alias("high"))
+    return df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight).filter("w > 0")
+
+
+def bootstrap_difference(df: DataFrame, key: str, value: str, groups: Sequence[str], side: str | None = None, first: str = "", second: str = "", resamples: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Percentile interval per group of a mean, or of the difference of two sides' means (first - second): groups, ci_low, ci_high.
+
+    NULL values don't count; resamples in which a side is empty give nothing.
+    """
+    drawn = _draw(df.filter(F.col(value).isNotNull()), key, resamples, seed)
+    mean = lambda c: F.try_divide(F.sum(F.when(c, F.col(value) * F.col("w"))), F.sum(F.when(c, F.col("w"))))
+    stat = mean(F.lit(True)) if side is None else mean(F.col(side) == first) - mean(F.col(side) == second)
+    per = drawn.groupBy(*groups, "b").agg(stat.alias("v"))
+    # `resamples` values a group, whatever the rows
+    return per.groupBy(*groups).agg(F.percentile("v", F.lit((1 - level) / 2)).alias("ci_low"), F.percentile("v", F.lit((1 + level) / 2)).alias("ci_high"))
+
+
+#: Metrics by name: aggregates of gold and prediction. Rank metrics need ranks and are added by evaluate().
+METRICS: dict[str, Callable[[str, str], Column]] = {
+    "rmse": lambda g, p: F.sqrt(F.avg(F.pow(F.col(p) - F.col(g), 2))),
+    "mae": lambda g, p: F.avg(F.abs(F.col(p) - F.col(g))),
+    "pearson": pearson,
+}
+RANK_METRICS = ("spearman", "kendall_tau")
+
+
+def register_metric(name: str, metric: Callable[[str, str], Column]) -> None:
+    """Add a metric; a known name raises."""
+    if name in METRICS or name in RANK_METRICS:
+        raise DataError("metric exists", name=name)
+    METRICS[name] = metric
+
+
+def evaluate(df: DataFrame, gold: str, pred: str, names: Sequence[str] = ("rmse", "mae", "pearson", "spearman", "kendall_tau"), strict: bool = True) -> dict[str, float | None]:
+    """Metrics of a prediction by name. strict: no rows, a missing or infinite value, or a constant side under a correlation raises; else such rows don't count and the correlation is None."""
+    unknown = [n for n in names if n not in METRICS and n not in RANK_METRICS]
+    if unknown:
+        raise DataError("unknown metrics", names=unknown, known=sorted((*METRICS, *RANK_METRICS)))
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    own = df.select(F.col(gold).cast("double").alias("_g"), F.col(pred).cast("double").alias("_p"))
+    seen = own.agg(F.count("*").alias("n"), F.count_if(bad("_g") | bad("_p")).alias("bad"), F.coalesce(F.stddev_pop("_g"), F.lit(0.0)).alias("sg"), F.coalesce(F.stddev_pop("_p"), F.lit(0.0)).alias("sp")).first()
+    if strict and (not seen.n or seen.bad):
+        raise DataError("metrics need finite values", rows=seen.n, bad=seen.bad)
+    if strict and not (seen.sg and seen.sp) and any(n not in ("rmse", "mae") for n in names if n in ("pearson", *RANK_METRICS)):
+        raise DataError("a correlation needs values that differ", gold=gold, prediction=pred)
+    own = own.filter(~bad("_g") & ~bad("_p"))
+    plain = [n for n in names if n in METRICS]
+    out: dict[str, float | None] = {}
+    if plain:
+        row = own.agg(*[METRICS[n]("_g", "_p").alias(n) for n in plain]).first()
+        out |= {n: row[n] for n in plain}
+    if "spearman" in names:
+        ranked = average_ranks(average_ranks(own, "_g", [], "_a"), "_p", [], "_b")
+        out["spearman"] = ranked.agg(pearson("_a", "_b").alias("r")).first().r
+    if "kendall_tau" in names:
+        found = kendall(own.withColumn("_all", F.lit(1)), "_g", "_p", ["_all"]).first()
+        out["kendall_tau"] = found.tau if found else None
+    return {n: out[n] for n in names}

@@ -1,5 +1,5 @@
-"""Ranking, binning and scaling over groups. Windows partition by the caller's groups; where a group may hold
-most rows, the percentile and quantile helpers aggregate distinct values first and join back instead."""
+"""Ranking, binning and scaling over groups. Ranks and quantiles go by ranges of counted values, so a group may hold
+all rows; the windows left partition by small groups or hold one row per group."""
 
 from __future__ import annotations
 
@@ -8,17 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.functions.ranges import quantiles, value_ranks
 
-def average_ranks(df: DataFrame, value: str, groups: Sequence[str], out: str, descending: bool = False) -> DataFrame:
-    """Average rank of ties among non-NULL values of a group; NULL values get NULL.
 
-    Counts per distinct value come first, so the window sees distinct values, not rows.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    upto = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn(out, F.sum("_n").over(upto) - (F.col("_n") - 1) / 2.0).drop("_n")
-    return df.join(ranked, [*groups, value], "left")
+def average_ranks(df: DataFrame, value: str, groups: Sequence[str], out: str, descending: bool = False) -> DataFrame:
+    """Average rank of ties among non-NULL values of a group; NULL values get NULL. Groups may be of any size."""
+    known = value_ranks(df, value, groups)
+    below = F.col("total") - F.col("before") - F.col("n") if descending else F.col("before")
+    return df.join(known.select(*groups, value, (below + (F.col("n") + 1) / 2.0).alias(out)), [*groups, value], "left")
 
 
 def percentile_ranks(df: DataFrame, value: str, groups: Sequence[str], out: str, descending: bool = False) -> DataFrame:
@@ -44,8 +41,7 @@ def scale_by_max(df: DataFrame, value: str, groups: Sequence[str], out: str) ->
 
 def quantile_edges(df: DataFrame, value: str, bins: int, groups: Sequence[str] = ()) -> DataFrame:
     """Distinct quantile edges (linear interpolation) of each group as an array column `edges`."""
-    q = F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    return (df.groupBy(*groups) if groups else df).agg(F.array_sort(F.array_distinct(q)).alias("edges"))
+    return quantiles(df, value, [i / bins for i in range(bins + 1)], groups).select(*groups, F.array_sort(F.array_distinct(F.array_compact("q"))).alias("edges"))
 
 
 def right_closed_bin(value: Column, edges: Column) -> Column:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions.stats import error_metrics, kendall, mann_whitney
+from glossmill.functions.ranges import quantiles, value_ranks
+from glossmill.functions.stats import bootstrap_difference, error_metrics, kendall, mann_whitney, wilcoxon
 from glossmill.functions.windows import benjamini_hochberg, keep_first, quantile_edges, right_closed_bin, top_k
 from glossmill.operators.checks import DataError
+from glossmill.operators.columns import is_numeric
 
 
 def merge_predictions(features: DataFrame, predictions: DataFrame, key: str, how: str = "inner", validate: str | None = None) -> DataFrame:
@@ -44,7 +46,8 @@ def error_groups(df: DataFrame, strata: Sequence[str], low: float = 0.25, high:
 
     Bounds are inclusive, the high label wins ties, strata under max(4, least) rows stay middle.
     """
-    q = df.groupBy(*strata).agg(F.percentile("abs_error", F.lit(low)).alias("_lo"), F.percentile("abs_error", F.lit(high)).alias("_hi"), F.count("*").alias("_n"))
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("_n"))
+    q = quantiles(df, "abs_error", [low, high], strata).select(*strata, F.get("q", F.lit(0)).alias("_lo"), F.get("q", F.lit(1)).alias("_hi")).join(sizes, list(strata))
     label = F.when(F.col("_n") < max(4, least), "middle").when(F.col("abs_error") >= F.col("_hi"), "high_error").when(F.col("abs_error") <= F.col("_lo"), "low_error").otherwise("middle")
     return df.join(q, list(strata)).withColumn("error_group", label).drop("_lo", "_hi", "_n")
 
@@ -67,15 +70,59 @@ def contrasts(df: DataFrame, features: Sequence[str], strata: Sequence[str], sid
     return mann_whitney(long, "value", side, [*strata, "feature"], first, second)
 
 
-def associations(df: DataFrame, features: Sequence[str], strata: Sequence[str], against: str = "abs_error") -> DataFrame:
-    """Kendall's tau of every feature with an error column per stratum, p-values adjusted inside the stratum."""
-    found = kendall(long_features(df, features, [*strata, against]), "value", against, [*strata, "feature"]).filter("n >= 3")
-    return benjamini_hochberg(found, "p", strata, "p_adjusted", ["feature"])
+def associations(df: DataFrame, features: Sequence[str], strata: Sequence[str], against: Sequence[str] = ("abs_error", "signed_error", "gold"), least: int = 3) -> DataFrame:
+    """Kendall's tau of every feature with each error column per stratum, missing rates, p-values adjusted inside the stratum.
 
+    One row per stratum and feature: n, missing_rate, tau_<column>, p_<column>, and p_adjusted of the first column.
+    Strata with fewer than `least` known values are left out; the missing rate is that of the whole stratum.
+    """
+    long = long_features(df, features, [*strata, *against])
+    rates = long.groupBy(*strata, "feature").agg(F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"))
+    out = None
+    for a in against:
+        found = kendall(long, "value", a, [*strata, "feature"]).filter(F.col("n") >= least).withColumnsRenamed({"tau": f"tau_{a}", "p": f"p_{a}"})
+        out = found if out is None else out.join(found.drop("n"), [*strata, "feature"], "left")
+    out = out.join(rates, [*strata, "feature"])
+    return benjamini_hochberg(out, f"p_{against[0]}", strata, "p_adjusted", ["feature"])
+
+
+def matched_pair_details(pairs: DataFrame, df: DataFrame, features: Sequence[str], key: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Matched pairs with each feature's values and difference, long: pair columns, feature, low_value, high_value, diff (low - high)."""
+    side = lambda name: df.select(F.col(key).alias(f"{name}_key"), *keep, F.array(*[F.col(f).cast("double") for f in features]).alias(f"_{name}"))
+    on = lambda name: [f"{name}_key", *keep]
+    both = pairs.join(side("high"), on("high")).join(side("low"), on("low"))
+    each = [F.struct(F.lit(f).alias("feature"), F.get("_low", F.lit(i)).alias("low_value"), F.get("_high", F.lit(i)).alias("high_value")) for i, f in enumerate(features)]
+    return both.select(*pairs.columns, F.explode(F.array(*each)).alias("_x")).select(*pairs.columns, "_x.*").withColumn("diff", F.col("low_value") - F.col("high_value"))
+
+
+def matched_pair_summary(details: DataFrame, groups: Sequence[str], least: int = 3, resamples: int = 200) -> DataFrame:
+    """Per group and feature: n_pairs, mean and median difference with an interval of the mean, signed-rank sums, p, adjusted p; groups of fewer than `least` pairs are left out."""
+    by = [*groups, "feature"]
+    known = details.filter("diff IS NOT NULL")
+    middle = quantiles(known, "diff", [0.5], by).select(*by, F.get("q", F.lit(0)).alias("median_diff"))
+    base = known.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg("diff").alias("mean_diff")).filter(F.col("n_pairs") >= least).join(middle, by)
+    keyed = known.withColumn("_k", F.concat_ws("|", "high_key", "low_key"))
+    out = base.join(bootstrap_difference(keyed, "_k", "diff", by, resamples=resamples), by, "left").join(wilcoxon(known, "diff", by).drop("n"), by, "left")
+    return benjamini_hochberg(out, "p", groups, "p_adjusted", ["feature"])
+
+
+def nearest_representatives(clustered: DataFrame, k: int = 3, key: str = "row_id") -> DataFrame:
+    """The k rows of each cluster nearest to its centre."""
+    return top_k(clustered, ["cluster"], [F.col("distance"), F.col(key)], k)
+
+
+def run_summary(frames: dict[str, DataFrame]) -> DataFrame:
+    """name and rows of every result, one small aggregate each."""
+    out = None
+    for name, df in frames.items():
+        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
-def interaction_ranges(tau: DataFrame, moderator: str, feature: str = "feature", least: int = 15) -> DataFrame:
+
+def interaction_ranges(tau: DataFrame, moderator: str, feature: str = "feature", least: int = 15, column: str = "tau") -> DataFrame:
     """Range of tau over a moderator's levels with `least` rows or more; needs two levels."""
-    return tau.filter(F.col("n") >= least).groupBy(feature).agg(F.countDistinct(moderator).alias("levels"), (F.max("tau") - F.min("tau")).alias("tau_range")).filter("levels >= 2")
+    return tau.filter(F.col("n") >= least).groupBy(feature).agg(F.countDistinct(moderator).alias("levels"), (F.max(column) - F.min(column)).alias("tau_range")).filter("levels >= 2")
 
 
 def extremes(df: DataFrame, strata: Sequence[str], k: int, key: str = "row_id") -> DataFrame:
@@ -115,12 +162,8 @@ def greedy_matches(df: DataFrame, exact: Sequence[str], numeric: Sequence[str],
 
 
 def ecdf(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
-    """Cumulative share of rows up to each distinct value of a group; the window sees distinct values only."""
-    from pyspark.sql import Window
-
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*groups)
-    return counts.withColumn("cdf", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w))
+    """Cumulative share of rows up to each distinct value of a group: groups, value, n, cdf."""
+    return value_ranks(df, value, groups).select(*groups, value, "n", ((F.col("before") + F.col("n")) / F.col("total")).alias("cdf"))
 
 
 def heatmap(df: DataFrame, rows: str, column: str, values: Sequence, cell: Column) -> DataFrame:
@@ -128,16 +171,31 @@ def heatmap(df: DataFrame, rows: str, column: str, values: Sequence, cell: Colum
     return df.groupBy(rows).pivot(column, list(values)).agg(cell).na.fill(0)
 
 
-def family(feature: Column) -> Column:
-    """Feature family by prefix."""
-    out = F.lit("other")
-    for prefix in ("semantic", "cognate", "retrieval", "baseline", "surprisal", "mlm", "subtlex", "kelly", "wf", "clue", "source", "target"):
-        out = F.when(F.startswith(feature, F.lit(prefix)), prefix).otherwise(out)
-    return out
+def prompt(text: Sequence[str], numbers: Sequence[str], separator: str = " [SEP] ", kinds: Mapping[str, str] | None = None, digits: int = 4) -> Column:
+    """TEXT: a [SEP] b [SEP] FEATURES: x=0.1234 | y=3 | z=true: record to prompt.
 
+    kinds: per feature float (default), int (half-even), bool (strings count too) or str; missing values are NA.
+    """
+    def shown(c: str) -> Column:
+        kind = (kinds or {}).get(c, "float")
+        if kind == "float":
+            return F.format_string(f"%.{digits}f", F.col(c).try_cast("double"))
+        if kind == "int":
+            return F.bround(F.col(c).try_cast("double"), 0).cast("bigint").cast("string")
+        if kind == "bool":
+            v = F.lower(F.trim(F.col(c).cast("string")))
+            return F.when(v.isin("true", "1", "1.0", "yes"), "true").when(v.isin("false", "0", "0.0", "no"), "false")
+        return F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
 
-def prompt(text: Sequence[str], numbers: Sequence[str], separator: str = " [SEP] ") -> Column:
-    """TEXT: a [SEP] b [SEP] FEATURES: x=0.1234 | y=NA: record to prompt with four decimals."""
     body = F.concat_ws(separator, *[F.coalesce(F.col(c), F.lit("")) for c in text])
-    pairs = F.concat_ws(" | ", *[F.concat(F.lit(f"{n}="), F.coalesce(F.format_string("%.4f", F.col(n).cast("double")), F.lit("NA"))) for n in numbers])
+    pairs = F.concat_ws(" | ", *[F.concat(F.lit(f"{n}="), F.coalesce(shown(n), F.lit("NA"))) for n in numbers])
     return F.concat(F.lit("TEXT: "), body, F.lit(f"{separator}FEATURES: "), pairs)
+
+
+def prompt_kinds(df: DataFrame, features: Sequence[str]) -> dict[str, str]:
+    """Kind of each feature for prompts: bool where all values are 0 or 1, int, float or str by type; one aggregate."""
+    types = dict(df.dtypes)
+    numbers = [f for f in features if is_numeric(types[f])]
+    row = df.agg(F.lit(1).alias("_"), *[F.bool_and(F.col(f).isNull() | F.col(f).isin(0, 1)).alias(f) for f in numbers]).first()
+    whole = ("tinyint", "smallint", "int", "bigint")
+    return {f: "bool" if types[f] == "boolean" or f in numbers and row[f] else "int" if types[f] in whole else "float" if f in numbers else "str" for f in features}
