@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.features.frequency import cefr_code, lookup_with_fallback, token_frequencies, universal_tag, word_cost
+from glossmill.features.frequency import TAGS, cefr_code, lookup_with_fallback, token_frequencies, universal_tag, word_cost
 from glossmill.features.language import predicted_words
 from glossmill.features.lexical import clean_key, lexical_columns
 from glossmill.features.retrieval import baseline_columns, clue_matches, retrieval_columns, semantic_columns
@@ -95,14 +95,8 @@ def lex_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_pairs(spark, folder).select("a", "b", set_jaccard(bigram_set(a), bigram_set(b)).alias("bigram_jaccard"), shared_char_ratio(a, b).alias("shared_char_ratio"), prefix_suffix_ratio(a, b).alias("prefix_suffix")))
 
 
-@query(f"WITH p AS ({_PAIRS} AND regexp_full_match(word_1_norm, '[a-z ]+') AND regexp_full_match(word_2_norm, '[a-z ]+')) SELECT a, b, CAST(levenshtein(a, b) AS INT) AS edits FROM p")
-def edit_distance(spark: SparkSession, folder: str) -> DataFrame:
-    """Unit-cost edit distance of ASCII word pairs."""
-    return _pairs(spark, folder).filter("a rlike '^[a-z ]+$' AND b rlike '^[a-z ]+$'").select("a", "b", F.levenshtein("a", "b").alias("edits"))
-
-
 @query()
-def edit_distance_all(spark: SparkSession, folder: str) -> DataFrame:
+def edit_distance(spark: SparkSession, folder: str) -> DataFrame:
     """Unit-cost edit distance of all word pairs, in characters (the SQL's engine counts bytes)."""
     return _pairs(spark, folder).select("a", "b", F.levenshtein("a", "b").alias("edits"))
 
@@ -125,7 +119,20 @@ def retrieval_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(table(spark, folder, "items").select("row_id", *[c.alias(n) for n, c in cols.items()]))
 
 
-@query()
+_WORDS = "list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]+'))"
+_CHARS = "list_distinct(string_split({k}, ''))"
+
+
+def _jaccard(a: str, b: str) -> str:
+    return f"coalesce(len(list_intersect({a}, {b})) / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
+
+
+@query(f"""
+WITH k AS (SELECT row_id, {_WORDS.format(c='L1_source_word')} AS sw, {_WORDS.format(c='en_target_word')} AS tw, {_WORDS.format(c='en_target_clue')} AS cw, {_WORDS.format(c='L1_context')} AS xw, {_KEY.format(c='L1_source_word')} AS sk, {_KEY.format(c='en_target_word')} AS tk, {_KEY.format(c='en_target_clue')} AS ck FROM items),
+c AS (SELECT *, CASE WHEN sk = '' THEN [] ELSE {_CHARS.format(k='sk')} END AS sc, CASE WHEN tk = '' THEN [] ELSE {_CHARS.format(k='tk')} END AS tc, CASE WHEN ck = '' THEN [] ELSE {_CHARS.format(k='ck')} END AS cc FROM k),
+j AS (SELECT row_id, {_jaccard('sw', 'tw')} AS st, {_jaccard('sc', 'tc')} AS ct, {_jaccard('sw', 'cw')} AS sc_, {_jaccard('tc', 'cc')} AS tc_, {_jaccard('tw', 'xw')} AS tx FROM c)
+SELECT row_id, round(0.5 * sc_, 6) AS semantic_usas_domain_match, round(1 - st, 6) AS semantic_usas_entropy_unweighted, round(1 - ct, 6) AS semantic_usas_entropy_weighted, round(greatest(0, least(1, 1 - (0.45 * (0.5 * ct + 0.5 * st) + 0.25 * 0.5 * sc_ + 0.30 * (0.5 * tc_ + 0.5 * tx)))), 6) AS semantic_semantic_shift FROM j
+""")
 def semantic_features(spark: SparkSession, folder: str) -> DataFrame:
     """Domain match, entropies and semantic shift by token and character overlap."""
     cols = semantic_columns(F.col("L1_source_word"), F.col("en_target_word"), F.col("en_target_clue"), F.col("L1_context"))
@@ -144,15 +151,15 @@ def token_entropy(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(n.groupBy("doc_id").agg((F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")).alias("entropy")))
 
 
-@query("""
-WITH l AS (SELECT row_id, list_distinct(string_split(lower(trim(coalesce(en_target_word,''))), '')) AS p, list_filter(list_distinct(string_split(lower(trim(coalesce(en_target_clue,''))), '')), lambda x: x <> '_') AS c, length(lower(trim(coalesce(en_target_word,'')))) AS n FROM items WHERE regexp_full_match(en_target_word, '[a-z]+') AND en_target_word NOT IN ('nan','none','null') AND en_target_clue IS NOT NULL)
-SELECT row_id, n AS baseline_pred_len, 1 AS baseline_pred_matches_target, round(coalesce(len(list_intersect(p, c)) / nullif(len(list_distinct(list_concat(p, c))), 0), 0), 6) AS baseline_clue_overlap FROM l
+@query(f"""
+WITH k AS (SELECT row_id, {_KEY.format(c='L1_source_word')} AS p, {_KEY.format(c='en_target_word')} AS t, {_KEY.format(c='en_target_clue')} AS c FROM items),
+l AS (SELECT *, CASE WHEN p = '' THEN [] ELSE list_distinct(string_split(p, '')) END AS ps, CASE WHEN c = '' THEN [] ELSE list_filter(list_distinct(string_split(c, '')), lambda x: x <> '_') END AS cs FROM k)
+SELECT row_id, length(p) AS baseline_pred_len, CAST(p <> '' AND p = t AS INT) AS baseline_pred_matches_target, round({_jaccard('ps', 'cs')}, 6) AS baseline_clue_overlap FROM l
 """)
 def baseline_meta(spark: SparkSession, folder: str) -> DataFrame:
-    """Prediction features with the target itself as the prediction, for plainly written words."""
-    items = table(spark, folder, "items").filter("en_target_word rlike '^[a-z]+$' AND en_target_word NOT IN ('nan','none','null') AND en_target_clue IS NOT NULL")
-    cols = baseline_columns(F.col("en_target_word"), F.col("en_target_word"), F.col("en_target_clue"))
-    return rounded(items.select("row_id", *[c.alias(n) for n, c in cols.items()]))
+    """Prediction features of a predictor that repeats the source word."""
+    cols = baseline_columns(F.col("L1_source_word"), F.col("en_target_word"), F.col("en_target_clue"))
+    return rounded(table(spark, folder, "items").select("row_id", *[c.alias(n) for n, c in cols.items()]))
 
 
 @query()
@@ -165,18 +172,10 @@ def baseline_predicted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT DISTINCT en_target_clue AS clue FROM items WHERE regexp_full_match(en_target_clue, '[a-z]+_+')), v AS (SELECT DISTINCT word FROM lexicon WHERE regexp_full_match(word, '[a-z]+'))
-SELECT clue, count(*) AS n_words, min(word) AS first_word FROM c JOIN v ON substr(v.word,1,1) = substr(c.clue,1,1) AND length(v.word) = length(c.clue) AND v.word LIKE c.clue GROUP BY clue
+WITH c AS (SELECT DISTINCT en_target_clue AS clue, lower(trim(en_target_clue, ' ')) AS p FROM items WHERE en_target_clue IS NOT NULL), v AS (SELECT DISTINCT word, lower(word) AS w FROM lexicon WHERE word <> '')
+SELECT clue, count(*) AS n_words, min(word) AS first_word FROM c JOIN v ON p = '' OR (length(w) = length(p) AND len(list_filter(range(1, length(p) + 1), lambda i: substr(p, i, 1) <> '_' AND substr(p, i, 1) <> substr(w, i, 1))) = 0) GROUP BY clue
 """)
 def clue_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Lexicon words that fit each clue: first letter and length join, the pattern filters."""
-    c = table(spark, folder, "items").select(F.col("en_target_clue").alias("clue")).filter("clue rlike '^[a-z]+_+$'").distinct().withColumns({"f": F.substring("clue", 1, 1), "n": F.length("clue")})
-    v = table(spark, folder, "lexicon").select("word").filter("word rlike '^[a-z]+$'").distinct().withColumns({"f": F.substring("word", 1, 1), "n": F.length("word")})
-    return c.join(v, ["f", "n"]).filter(clue_matches(F.col("word"), F.col("clue"))).groupBy("clue").agg(F.count("*").alias("n_words"), F.min("word").alias("first_word"))
-
-
-@query()
-def clue_candidates_all(spark: SparkSession, folder: str) -> DataFrame:
     """Lexicon words that fit each clue, whatever it shows: the length joins, and the first letter where it is shown; a blank clue fits all."""
     c = table(spark, folder, "items").filter("en_target_clue IS NOT NULL").select(F.col("en_target_clue").alias("clue")).distinct().withColumn("t", F.lower(F.trim("clue")))
     c = c.withColumns({"f": F.substring("t", 1, 1), "n": F.length("t")})
@@ -209,26 +208,21 @@ def token_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("word", "n", "docs", F.round("freq", 9).alias("freq"), F.round("zipf", 6).alias("zipf"), F.round("cd", 6).alias("cd"), F.round(word_cost(F.col("freq")), 6).alias("cost"))
 
 
-_LEX = "SELECT lower(trim(word, ' ')) AS word, part_of_speech AS tag, zipf, subtl_wf FROM lexicon WHERE word <> '' AND trim(word, ' ') <> ''"
+def _tag_sql(c: str) -> str:
+    """The universal tag of a column, in SQL."""
+    key = _KEY.format(c=c)
+    return f"coalesce(CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TAGS.items()) + f" END, upper({key}))"
 
 
 @query(f"""
-WITH l AS ({_LEX}), p AS (SELECT word, tag, subtl_wf, zipf FROM (SELECT *, row_number() OVER (PARTITION BY word, tag ORDER BY coalesce(subtl_wf,-1) DESC, coalesce(zipf,-1) DESC) AS rn FROM l) WHERE rn = 1),
+WITH l AS (SELECT * FROM (SELECT {_KEY.format(c='word')} AS word, {_tag_sql('part_of_speech')} AS tag, zipf, subtl_wf FROM lexicon) WHERE word <> ''),
+p AS (SELECT word, tag, subtl_wf, zipf FROM (SELECT *, row_number() OVER (PARTITION BY word, tag ORDER BY coalesce(subtl_wf,-1) DESC, coalesce(zipf,-1) DESC) AS rn FROM l) WHERE rn = 1),
 w AS (SELECT word, subtl_wf, zipf FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY coalesce(subtl_wf,-1) DESC, coalesce(zipf,-1) DESC, tag) AS rn FROM l) WHERE rn = 1),
-i AS (SELECT row_id, lower(trim(en_target_word, ' ')) AS word, en_target_pos AS tag FROM items WHERE en_target_pos IN ('NOUN','VERB','ADJ','ADV') AND regexp_full_match(en_target_word, '[A-Za-z]+') AND lower(en_target_word) NOT IN ('nan','none','null'))
+i AS (SELECT row_id, {_KEY.format(c='en_target_word')} AS word, {_tag_sql('en_target_pos')} AS tag FROM items)
 SELECT row_id, round(CASE WHEN p.word IS NOT NULL THEN p.subtl_wf ELSE w.subtl_wf END, 6) AS subtlex_wf, round(CASE WHEN p.word IS NOT NULL THEN p.zipf ELSE w.zipf END, 6) AS subtlex_zipf, CAST(w.word IS NOT NULL AS INT) AS subtlex_found, CAST(p.word IS NOT NULL AS INT) AS subtlex_pos_match
 FROM i LEFT JOIN p ON p.word = i.word AND p.tag = i.tag LEFT JOIN w ON w.word = i.word
 """)
 def lexicon_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Lexicon values by word and tag, falling back to the word."""
-    lex = table(spark, folder, "lexicon").select(clean_key(F.col("word")).alias("word"), universal_tag(F.col("part_of_speech")).alias("tag"), "zipf", "subtl_wf")
-    items = table(spark, folder, "items").filter("en_target_pos IN ('NOUN','VERB','ADJ','ADV') AND en_target_word rlike '^[A-Za-z]+$' AND lower(en_target_word) NOT IN ('nan','none','null')")
-    out = lookup_with_fallback(items.select("row_id", "en_target_word", "en_target_pos"), lex, "en_target_word", "en_target_pos", ["subtl_wf", "zipf"], [-F.coalesce("subtl_wf", F.lit(-1.0)), -F.coalesce("zipf", F.lit(-1.0)), F.col("tag")], "subtlex")
-    return rounded(out.select("row_id", F.col("subtlex_subtl_wf").alias("subtlex_wf"), "subtlex_zipf", "subtlex_found", "subtlex_pos_match"))
-
-
-@query()
-def lexicon_lookup_all(spark: SparkSession, folder: str) -> DataFrame:
     """Lexicon values of every record by word and normalized tag, falling back to the word."""
     lex = table(spark, folder, "lexicon").select(clean_key(F.col("word")).alias("word"), universal_tag(F.col("part_of_speech")).alias("tag"), "zipf", "subtl_wf")
     items = table(spark, folder, "items").select("row_id", "en_target_word", "en_target_pos")
@@ -258,9 +252,15 @@ def edge_pair_counts(spark: SparkSession, folder: str) -> DataFrame:
     return concepts.keep_edges(table(spark, folder, "cognet_edges")).groupBy("lang_1", "lang_2").agg(F.count("*").alias("n"), F.countDistinct("concept_id").alias("n_concepts"))
 
 
+def plain_key(c: str) -> Column:
+    """A word as typed in lower case with single inner blanks; NULL as ''."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " ")))
+
+
 def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    items = table(spark, folder, "items").filter("L1 IN ('es','de') AND L1_source_word rlike '^[A-Za-zÄÖÜäöüßáéíóúñÁÉÍÓÚÑ]+$' AND en_target_word rlike '^[A-Za-z]+$'").select("row_id", "L1", "L1_source_word", "en_target_word")
-    return items, concepts.match_concepts(items, table(spark, folder, "cognet_edges"), "row_id", "L1", F.col("L1_source_word"), F.col("en_target_word"))
+    """Every item's words as typed (row_id, L1, s, t) and how they meet the graph; the queries named _all read entries first."""
+    items = table(spark, folder, "items").select("row_id", "L1", plain_key("L1_source_word").alias("s"), plain_key("en_target_word").alias("t"))
+    return items, concepts.match_concepts(items, table(spark, folder, "cognet_edges"), "row_id", "L1", F.col("s"), F.col("t"), keyed=True)
 
 
 def _whole_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -278,17 +278,18 @@ WITH e AS (SELECT DISTINCT concept_id, lower(trim(lang_1,' ')) AS l1, word_1, lo
 d AS (SELECT concept_id, l1 AS lang, {_N.format(c='word_1')} AS sw, {_N.format(c='translit_1')} AS st, {_N.format(c='word_2')} AS tw, {_N.format(c='translit_2')} AS tt FROM e WHERE l1 IN ('spa','deu','cmn','zho') AND l2 = 'eng'
       UNION ALL SELECT concept_id, l2, {_N.format(c='word_2')}, {_N.format(c='translit_2')}, {_N.format(c='word_1')}, {_N.format(c='translit_1')} FROM e WHERE l2 IN ('spa','deu','cmn','zho') AND l1 = 'eng' AND NOT (l1 IN ('spa','deu','cmn','zho') AND l2 = 'eng')),
 f AS (SELECT DISTINCT concept_id, lang, sf, tf FROM (SELECT concept_id, lang, unnest([sw, st]) AS sf, tw, tt FROM d) , unnest([tw, tt]) AS u(tf) WHERE sf <> '' AND tf <> ''),
-i AS (SELECT row_id, L1, CASE L1 WHEN 'es' THEN 'spa' ELSE 'deu' END AS lang, lower(L1_source_word) AS s, lower(en_target_word) AS t FROM items WHERE L1 IN ('es','de') AND regexp_full_match(L1_source_word, '[A-Za-zÄÖÜäöüßáéíóúñÁÉÍÓÚÑ]+') AND regexp_full_match(en_target_word, '[A-Za-z]+')),
-sc AS (SELECT row_id, list(DISTINCT concept_id) AS c FROM i JOIN f ON f.lang = i.lang AND f.sf = i.s GROUP BY row_id),
+i AS (SELECT row_id, L1, {_N.format(c='L1_source_word')} AS s, {_N.format(c='en_target_word')} AS t FROM items),
+g AS (SELECT i.*, c.lang FROM i JOIN (SELECT unnest(['es','de','cn','cn']) AS l, unnest(['spa','deu','cmn','zho']) AS lang) c ON c.l = i.L1),
+sc AS (SELECT row_id, list(DISTINCT concept_id) AS c FROM g JOIN f ON f.lang = g.lang AND f.sf = g.s GROUP BY row_id),
 tc AS (SELECT row_id, list(DISTINCT concept_id) AS c FROM i JOIN f ON f.tf = i.t GROUP BY row_id),
-x AS (SELECT DISTINCT row_id FROM i JOIN f ON f.lang = i.lang AND f.sf = i.s AND f.tf = i.t),
+x AS (SELECT DISTINCT row_id FROM g JOIN f ON f.lang = g.lang AND f.sf = g.s AND f.tf = g.t),
 m AS (SELECT i.row_id, i.L1, x.row_id IS NOT NULL AS ex, coalesce(sc.c, []) AS s, coalesce(tc.c, []) AS t, list_intersect(coalesce(sc.c, []), coalesce(tc.c, [])) AS sh FROM i LEFT JOIN sc USING (row_id) LEFT JOIN tc USING (row_id) LEFT JOIN x USING (row_id))
 """
 
 
-@query(_FORMS + "SELECT row_id, CAST(len(s) > 0 AS INT) AS source_found, CAST(len(t) > 0 AS INT) AS target_found, len(s)::INT AS n_source, len(t)::INT AS n_target, len(sh)::INT AS n_shared, list_min(sh) AS best, CASE WHEN ex THEN 'exact_pair' WHEN len(sh) > 0 THEN 'shared_concept_only' WHEN len(s) > 0 AND len(t) > 0 THEN 'both_found_no_shared_concept' WHEN len(s) > 0 THEN 'source_only_found' WHEN len(t) > 0 THEN 'target_only_found' ELSE 'no_match' END AS match_type FROM m")
+@query(_FORMS + "SELECT row_id, CAST(len(s) > 0 AS INT) AS source_found, CAST(len(t) > 0 AS INT) AS target_found, len(s)::INT AS n_source, len(t)::INT AS n_target, len(sh)::INT AS n_shared, list_min(sh) AS best, CASE WHEN L1 IS NULL OR L1 NOT IN ('es','de','cn') THEN 'unknown_source_language' WHEN ex THEN 'exact_pair' WHEN len(sh) > 0 THEN 'shared_concept_only' WHEN len(s) > 0 AND len(t) > 0 THEN 'both_found_no_shared_concept' WHEN len(s) > 0 THEN 'source_only_found' WHEN len(t) > 0 THEN 'target_only_found' ELSE 'no_match' END AS match_type FROM m")
 def concept_enrich(spark: SparkSession, folder: str) -> DataFrame:
-    """How plainly written source and target words meet in the concept graph."""
+    """How source and target words, as typed, meet in the concept graph."""
     return _graph(spark, folder)[1].select("row_id", "source_found", "target_found", F.size("source_concepts").alias("n_source"), F.size("target_concepts").alias("n_target"), F.size("shared").alias("n_shared"), "best", "match_type")
 
 
@@ -296,7 +297,7 @@ def concept_enrich(spark: SparkSession, folder: str) -> DataFrame:
 def concept_alternatives(spark: SparkSession, folder: str) -> DataFrame:
     """Other target words of an item's source concepts."""
     items, m = _graph(spark, folder)
-    full = m.join(items.select("row_id", F.lower("en_target_word").alias("t")), "row_id")
+    full = m.join(items.select("row_id", "t"), "row_id")
     return concepts.alternatives(full, table(spark, folder, "cognet_edges"), "row_id", F.col("t")).select("row_id", F.size("words").cast("bigint").alias("n_words"), "text")
 
 
@@ -318,10 +319,10 @@ def enrich_coverage(spark: SparkSession, folder: str) -> DataFrame:
 def top_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """The fifty most frequent source words the graph lacks."""
     items, m = _graph(spark, folder)
-    return m.filter("source_found = 0").join(items, "row_id").groupBy(F.lower("L1_source_word").alias("word")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
+    return m.filter("source_found = 0").join(items, "row_id").groupBy(F.col("s").alias("word")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
-# The four above hold the entries that their SQL can follow; these hold all, so SQL can't express them.
+# The four above look words up as they are typed; these read entries first (notes, variants, look-alikes), which SQL can't express.
 @query()
 def concept_enrich_all(spark: SparkSession, folder: str) -> DataFrame:
     """How source and target words of all items meet in the concept graph."""
@@ -449,7 +450,17 @@ def over_under_contrast(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(analysis.contrasts(df, FEATURES, ["model_name"], "side", "over", "under").drop("p"))
 
 
-@query()
+_SF2 = "(1 / (1 + 0.3275911 * {x})) * (0.254829592 + (1 / (1 + 0.3275911 * {x})) * (-0.284496736 + (1 / (1 + 0.3275911 * {x})) * (1.421413741 + (1 / (1 + 0.3275911 * {x})) * (-1.453152027 + (1 / (1 + 0.3275911 * {x})) * 1.061405429)))) * exp(-{x} * {x})"
+
+
+@query(EP + """, th AS (SELECT model_name, quantile_cont(abs_error, 0.25) AS lo, quantile_cont(abs_error, 0.75) AS hi, count(*) AS n FROM ep GROUP BY model_name),
+s AS (SELECT model_name, CASE WHEN abs_error >= hi THEN 'h' ELSE 'l' END AS side, unnest(['target_len','source_len','clue_len']) AS feature, unnest([target_len, source_len, clue_len]) AS value FROM ep JOIN th USING (model_name) WHERE n >= 10 AND (abs_error >= hi OR abs_error <= lo)),
+r AS (SELECT *, rank() OVER (PARTITION BY model_name, feature ORDER BY value) + (count(*) OVER (PARTITION BY model_name, feature, value) - 1) / 2.0 AS rk FROM s),
+ti AS (SELECT model_name, feature, sum(c * c * c - c) AS ties FROM (SELECT model_name, feature, value, count(*)::DOUBLE AS c FROM s GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT model_name, feature, count(*) FILTER (side='h') AS n1, count(*) FILTER (side='l') AS n2, avg(value) FILTER (side='h') AS mean1, avg(value) FILTER (side='l') AS mean2, median(value) FILTER (side='h') AS median1, median(value) FILTER (side='l') AS median2, sum(rk) FILTER (side='h') AS r1 FROM r GROUP BY ALL),
+u AS (SELECT g.*, r1 - n1*(n1+1)/2.0 AS u, n1*n2/12.0 * ((n1+n2+1) - ties / ((n1+n2)*(n1+n2-1.0))) AS var FROM g JOIN ti USING (model_name, feature)),
+z AS (SELECT *, greatest(abs(u - n1*n2/2.0) - 0.5, 0) / nullif(sqrt(var), 0) / sqrt(2.0) AS x FROM u)
+SELECT model_name, feature, n1, n2, round(mean1,6) AS mean1, round(mean2,6) AS mean2, round(median1,6) AS median1, round(median2,6) AS median2, round(u,6) AS u, round(""" + _SF2.format(x="x") + ", 6) AS p, round(2*u/(n1*n2) - 1, 6) AS delta FROM z WHERE n1 > 0 AND n2 > 0")
 def low_high_contrast(spark: SparkSession, folder: str) -> DataFrame:
     """Features of low- against high-error records with p-values."""
     df = analysis.error_groups(ep(spark, folder), ["model_name"])
@@ -545,10 +556,15 @@ def zscore_strata(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(zscores(table(spark, folder, "events"), "value", ["event_type"], "z").select("event_id", "z"))
 
 
-@query(EP + "SELECT 'target_len' AS feature, 0.0::DOUBLE AS missing_rate, count(DISTINCT target_len) AS n_distinct, 'kept' AS status FROM ep UNION ALL SELECT 'source_len', 0.0, count(DISTINCT source_len), 'kept' FROM ep UNION ALL SELECT 'clue_len', 0.0, count(DISTINCT clue_len), 'kept' FROM ep")
+@query("""
+WITH v AS (SELECT CASE WHEN isnan(GLMM_score) THEN NULL ELSE GLMM_score END AS g, item_id, length(en_target_clue) AS c, 7 AS flat FROM items)
+SELECT feature, round(m, 6) AS missing_rate, d AS n_distinct, CASE WHEN m > 0.3 THEN 'missing' WHEN d <= 1 THEN 'constant' ELSE 'kept' END AS status FROM (
+ SELECT unnest(['GLMM_score','item_id','clue_len','flat']) AS feature, unnest([avg((g IS NULL)::DOUBLE), avg((item_id IS NULL)::DOUBLE), avg((c IS NULL)::DOUBLE), 0.0]) AS m, unnest([count(DISTINCT g), count(DISTINCT item_id), count(DISTINCT c), 1]) AS d FROM v)
+""")
 def feature_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
-    """Missing rate and distinct values of features with what becomes of them."""
-    return analysis.feature_diagnostics(ep(spark, folder), FEATURES)
+    """Missing rate and distinct values of item columns with what becomes of them."""
+    items = table(spark, folder, "items").select(F.when(~F.isnan("GLMM_score"), F.col("GLMM_score")).alias("GLMM_score"), "item_id", F.length("en_target_clue").alias("clue_len"), F.lit(7).alias("flat"))
+    return rounded(analysis.feature_diagnostics(items, ["GLMM_score", "item_id", "clue_len", "flat"]))
 
 
 @query("SELECT row_id, 'TEXT: ' || coalesce(L1_context,'') || ' [SEP] ' || coalesce(en_target_word,'') || ' [SEP] FEATURES: n=' || printf('%.4f', length(coalesce(en_target_word,''))::DOUBLE) AS prompt FROM items")
@@ -571,11 +587,11 @@ def fold_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(folds.fold_summary(ep(spark, folder), "gold", "pred"))
 
 
-@query("SELECT count(*) AS n_rows FROM items")
+@query("SELECT coalesce(item_id, -1) AS k, count(*) AS n_rows, 1 AS n_folds, true AS known FROM items GROUP BY 1")
 def fold_assignment(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows over all folds of a group fold assignment that tears no item apart (fails if one is)."""
-    found = folds.fold_checks(folds.kfold(table(spark, folder, "items").withColumn("k", F.coalesce("item_id", F.lit(-1))), "k"), "k", 5)
-    return found.agg(F.sum(F.when(F.col("n_shared") == 0, F.col("n_rows"))).alias("n_rows"))
+    """Rows and folds of every item in a group fold assignment: one fold each, of the five."""
+    dealt = folds.kfold(table(spark, folder, "items").withColumn("k", F.coalesce("item_id", F.lit(-1))), "k")
+    return dealt.groupBy("k").agg(F.count("*").alias("n_rows"), F.countDistinct("cv_fold").cast("int").alias("n_folds"), F.bool_and(F.col("cv_fold").between(1, 5)).alias("known"))
 
 
 @query(EP + ", s AS (SELECT count(*) AS n, avg(target_len) AS a, avg(source_len) AS b, avg(gold) AS y FROM ep), g AS (SELECT sum((target_len-a)*(target_len-a)) + 1 AS aa, sum((target_len-a)*(source_len-b)) AS ab, sum((source_len-b)*(source_len-b)) + 1 AS bb, sum((target_len-a)*(gold-y)) AS ay, sum((source_len-b)*(gold-y)) AS bz FROM ep, s), w AS (SELECT (ay*bb - ab*bz)/(aa*bb - ab*ab) AS wa, (aa*bz - ab*ay)/(aa*bb - ab*ab) AS wb FROM g) SELECT 'target_len' AS feature_name, round(wa,6) AS score FROM w UNION ALL SELECT 'source_len', round(wb,6) FROM w")
@@ -615,8 +631,8 @@ def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def gbt_oof(spark: SparkSession, folder: str) -> DataFrame:
     """Out-of-fold boosted trees on length features."""
-    df = ep(spark, folder).filter("model_name = 'ridge'").select("row_id", "gold", *FEATURES)
-    return folds.out_of_fold(folds.kfold(df, "row_id", 3), 3, lambda train: models.mllib("gbr", train, FEATURES, "gold", maxIter=5), ["row_id", "gold"])
+    df = keep_first(ep(spark, folder).select("row_id", "gold", *FEATURES), ["row_id"], [F.col("gold")])
+    return folds.out_of_fold(folds.kfold(df, "row_id", 3), 3, lambda train: models.mllib("gbr", train, FEATURES, "gold"), ["row_id", "gold"])
 
 
 @query()

@@ -34,16 +34,16 @@ def _next(row, i, x, b):
     return out
 
 
-def test_edit_distance_all(spark, folder):
-    assert {(r.a, r.b): r.edits for r in q.edit_distance_all(spark, folder).collect()} == {p: edits(*p) for p in PAIRS}
+def test_edit_distance(spark, folder):
+    assert {(r.a, r.b): r.edits for r in q.edit_distance(spark, folder).collect()} == {p: edits(*p) for p in PAIRS}
 
 
-def test_lexicon_lookup_all(spark, folder):
-    got = {r.row_id: (r.subtlex_wf, r.subtlex_zipf, r.subtlex_found, r.subtlex_pos_match) for r in q.lexicon_lookup_all(spark, folder).collect()}
+def test_lexicon_lookup(spark, folder):
+    got = {r.row_id: (r.subtlex_wf, r.subtlex_zipf, r.subtlex_found, r.subtlex_pos_match) for r in q.lexicon_lookup(spark, folder).collect()}
     assert got == {1: (9.0, 5.0, 1, 1), 2: (20.0, 3.0, 1, 1), 3: (1.0, 2.0, 1, 0), 4: (2.0, 1.5, 1, 1), 5: (None, None, 0, 0), 6: (None, None, 0, 0), 7: (3.0, 1.0, 1, 0)}
 
 
-def test_clue_candidates_all(spark, folder):
+def test_clue_candidates(spark, folder):
     words = {w for w, *_ in LEX}
     want = {}
     for clue in {c for *_, c in ITEMS if c is not None}:
@@ -51,7 +51,7 @@ def test_clue_candidates_all(spark, folder):
         fit = [w for w in words if not t or len(w) == len(t) and all(x in ("_", y) for x, y in zip(t, w.lower(), strict=True))]
         if fit:
             want[clue] = (len(fit), min(fit))
-    assert {r.clue: (r.n_words, r.first_word) for r in q.clue_candidates_all(spark, folder).collect()} == want
+    assert {r.clue: (r.n_words, r.first_word) for r in q.clue_candidates(spark, folder).collect()} == want
 
 
 def test_baseline_predicted(spark, folder):
