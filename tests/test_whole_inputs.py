@@ -4,7 +4,7 @@ import pytest
 
 from glossmill.plans import reference_queries as q
 
-ITEMS = [(1, "music", "noun", "m____"), (2, "Run ", "vb", "___"), (3, "café", None, "c_f_"), (4, "ice cream", "NOUN", "i__ c____"), (5, "运行", "VERB", "  "), (6, None, "SCONJ", None), (7, "mango", "NOUN", "M____")]
+ITEMS = [(1, "music", "noun", "m____"), (2, "Run ", "vv", "___"), (3, "café", None, "c_f_"), (4, "ice cream", "NOUN", "i__ c____"), (5, "运行", "VERB", "  "), (6, None, "SCONJ", None), (7, "mango", "NOUN", "M____")]
 LEX = [("music", "NOUN", 5.0, 9.0), ("run", "NOUN", 4.0, 50.0), ("run", "verb", 3.0, 20.0), ("Café", "NOUN", 2.0, 1.0), ("mango", "PROPN", 1.0, 3.0), ("ice cream", "noun", 1.5, 2.0)]
 PAIRS = [("música", "music"), ("音乐", "yinyue"), ("haus", "house"), ("señal", "senal")]
 TEXT = "music music magic run ran cafe"
