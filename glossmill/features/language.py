@@ -12,28 +12,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.functions.ranges import min_ranks
+
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 COLUMNS = ("mlm_log_prob", "mlm_rank", "mlm_entropy", "surprisal_masked", "surprisal_pll", "surprisal_subword_mean", "surprisal_subword_sum")
 
 
 def ngram_model(words: DataFrame, n: str = "n") -> DataFrame:
-    """Character bigram model: prev, char, cost (-ln of the add-one probability of char after prev), from word counts."""
+    """Character model from word counts: prev, char, cost (-ln of the add-one probability of char after prev), unseen (that of a char never seen
+    after prev), alone (-ln of the add-one probability of char by itself), doubt (entropy of what follows prev)."""
     padded = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"), F.col(n).alias("n"))
     pairs = padded.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.struct(F.substring("w", i, F.lit(1)).alias("prev"), F.substring("w", i + 1, F.lit(1)).alias("char")))).alias("p"), "n").groupBy("p.prev", "p.char").agg(F.sum("n").alias("n"))
-    letters = pairs.agg(F.countDistinct("char").alias("v"))
-    prev = pairs.groupBy("prev").agg(F.sum("n").alias("t"))
-    return pairs.join(prev, "prev").crossJoin(F.broadcast(letters)).select("prev", "char", (-F.ln((F.col("n") + 1) / (F.col("t") + F.col("v")))).alias("cost"), F.ln(F.col("t") + F.col("v")).alias("unseen"))
+    single = pairs.groupBy("char").agg(F.sum("n").alias("cn"))
+    whole = single.agg(F.count("*").alias("v"), F.sum("cn").alias("all_n"))
+    prev = pairs.groupBy("prev").agg(F.sum("n").alias("t"), (F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")).alias("doubt"))
+    out = pairs.join(prev, "prev").join(single, "char").crossJoin(F.broadcast(whole))  # one row
+    return out.select("prev", "char", (-F.ln((F.col("n") + 1) / (F.col("t") + F.col("v")))).alias("cost"), F.ln(F.col("t") + F.col("v")).alias("unseen"), (-F.ln((F.col("cn") + 1) / (F.col("all_n") + F.col("v")))).alias("alone"), "doubt")
 
 
 def built_in_scores(pairs: DataFrame, model: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Scores of distinct words under the built-in model: word and COLUMNS. Unseen pairs cost the add-one floor."""
+    """Scores of distinct words under the built-in model: word and COLUMNS.
+
+    The word masked as a whole costs its characters by themselves (mlm_log_prob is minus their sum, surprisal_masked their mean);
+    masked one at a time each costs what it does after the one before it (surprisal_pll and surprisal_subword_sum their sum,
+    surprisal_subword_mean their mean). mlm_entropy is the mean entropy of what might follow. Pairs and characters that the
+    model lacks cost the add-one floor. mlm_rank is the word's rank by frequency, 1 for unknown ones.
+    """
     words = pairs.select("word").filter("word <> ''").distinct()
     steps = words.select("word", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.struct(F.substring(F.concat(F.lit("^"), "word", F.lit("$")), i, F.lit(1)).alias("prev"), F.substring(F.concat(F.lit("^"), "word", F.lit("$")), i + 1, F.lit(1)).alias("char")))).alias("at", "s")).select("word", "at", "s.*")
-    costed = steps.join(model, ["prev", "char"], "left").withColumn("cost", F.coalesce("cost", F.lit(12.0)))
-    per = costed.groupBy("word").agg(F.sum("cost").alias("total"), F.avg("cost").alias("mean"))
-    ranks = vocabulary.select("word", F.rank().over(Window.orderBy(F.col("n").desc())).alias("rank"))
+    after = model.groupBy("prev").agg(F.first("unseen").alias("floor"), F.first("doubt").alias("doubt"))
+    single = model.groupBy("char").agg(F.first("alone").alias("alone"))
+    worst = F.broadcast(model.agg(F.coalesce(F.max("unseen"), F.lit(0.0)).alias("most"), F.coalesce(F.max("alone"), F.lit(0.0)).alias("rarest")))  # one row
+    costed = steps.join(model.select("prev", "char", "cost"), ["prev", "char"], "left").join(after, "prev", "left").join(single, "char", "left").crossJoin(worst)
+    costed = costed.withColumns({"cost": F.coalesce("cost", "floor", "most"), "alone": F.coalesce("alone", "rarest"), "doubt": F.coalesce("doubt", F.lit(0.0))})
+    per = costed.groupBy("word").agg(F.sum("cost").alias("total"), F.avg("cost").alias("mean"), F.sum("alone").alias("masked"), F.avg("alone").alias("masked_mean"), F.avg("doubt").alias("doubt"))
+    ranks = min_ranks(vocabulary.select("word", "n"), "n", [], "rank").select("word", "rank")
     out = per.join(ranks, "word", "left")
-    return out.select("word", (-F.col("total")).alias("mlm_log_prob"), F.coalesce("rank", F.lit(1)).alias("mlm_rank"), F.col("mean").alias("mlm_entropy"), F.col("mean").alias("surprisal_masked"), F.col("total").alias("surprisal_pll"), F.col("mean").alias("surprisal_subword_mean"), F.col("total").alias("surprisal_subword_sum"))
+    return out.select("word", (-F.col("masked")).alias("mlm_log_prob"), F.coalesce("rank", F.lit(1)).alias("mlm_rank"), F.col("doubt").alias("mlm_entropy"), F.col("masked_mean").alias("surprisal_masked"), F.col("total").alias("surprisal_pll"), F.col("mean").alias("surprisal_subword_mean"), F.col("total").alias("surprisal_subword_sum"))
 
 
 def language_group(items: DataFrame, corpus: DataFrame, scorer: Scorer | None = None, context: str = "L1_context", word: str = "en_target_word", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -51,21 +66,28 @@ def language_group(items: DataFrame, corpus: DataFrame, scorer: Scorer | None =
     return out.withColumns(rest | rank).drop("_w")
 
 
-def shortlist(items: DataFrame, vocabulary: DataFrame, key: str, clue: str, k: int = 50) -> DataFrame:
-    """Candidate words of each item: key, word, place. The clue's first letter joins, the clue's pattern filters.
+def shortlist(items: DataFrame, vocabulary: DataFrame, key: str, clue: str, k: int = 50, target: str | None = None, tag: str | None = None, tolerance: int = 0) -> DataFrame:
+    """Candidate words of each item: key, word, place, n, by falling frequency.
 
-    Items whose pattern leaves no word keep those of the right first letter. vocabulary: word, n.
+    Steps: the clue's first letter joins, then its pattern, then a length (the target word's where `target` names its column, else
+    the clue's) within `tolerance`, then the item's tag where `tag` names its column and the vocabulary has a column pos. A step
+    that would leave no word of an item is passed over. vocabulary: word, n (and pos). Items whose clue shows no letter have no candidates.
     """
     from glossmill.features.retrieval import clue_matches
 
-    asked = items.select(key, F.col(clue).alias("_clue"), F.lower(F.regexp_extract(F.coalesce(clue, F.lit("")), "([A-Za-z])", 1)).alias("_first")).filter("_first <> ''")
-    kinds = asked.select("_clue", "_first").distinct()
-    words = vocabulary.filter("word rlike '^[a-z]+$'").select("word", "n", F.substring("word", 1, 1).alias("_first"))
-    fits = kinds.join(words, "_first").withColumn("_fits", clue_matches(F.col("word"), F.col("_clue")))
-    some = fits.groupBy("_clue").agg(F.max("_fits").alias("_any"))
-    kept = fits.join(some, "_clue").filter(F.col("_fits") | ~F.col("_any"))
-    placed = kept.withColumn("place", F.row_number().over(Window.partitionBy("_clue").orderBy(F.col("n").desc(), "word"))).filter(F.col("place") <= k)
-    return asked.join(placed.select("_clue", "word", "place", "n"), "_clue").select(key, "word", "place", "n")
+    none = F.lit("")
+    wanted = F.lower(F.trim(F.coalesce(F.col(target), none))) if target else none
+    asked = items.select(key, F.col(clue).alias("_clue"), F.lower(F.regexp_extract(F.coalesce(clue, none), "([A-Za-z])", 1)).alias("_first"), F.length(F.when(wanted != "", wanted).otherwise(F.lower(F.trim(F.coalesce(clue, none))))).alias("_len"), (F.lower(F.trim(F.coalesce(F.col(tag), none))) if tag else none).alias("_tag")).filter("_first <> ''")
+    kind = ["_clue", "_first", "_len", "_tag"]
+    words = vocabulary.filter("word rlike '^[a-z]+$'").select("word", "n", F.substring("word", 1, 1).alias("_first"), (F.lower("pos") if "pos" in vocabulary.columns else none).alias("_pos"))
+    fits = asked.select(*kind).distinct().join(words, "_first")
+    steps = [clue_matches(F.col("word"), F.col("_clue")), F.abs(F.length("word") - F.col("_len")) <= tolerance, (F.col("_tag") == "") | (F.col("_pos") == F.col("_tag"))]
+    for i, fit in enumerate(steps):  # an aggregate per step says for which questions it leaves a word
+        fits = fits.withColumn("_fit", fit)
+        some = fits.groupBy(*kind).agg(F.max("_fit").alias("_any"))
+        fits = fits.join(some, kind).filter(F.col("_fit") | ~F.col("_any")).drop("_fit", "_any")
+    placed = fits.withColumn("place", F.row_number().over(Window.partitionBy(*kind).orderBy(F.col("n").desc(), "word"))).filter(F.col("place") <= k)
+    return asked.join(placed.select(*kind, "word", "place", "n"), kind).select(key, "word", "place", "n")
 
 
 def predicted_words(items: DataFrame, vocabulary: DataFrame, key: str, clue: str) -> DataFrame:

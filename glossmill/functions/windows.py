@@ -13,9 +13,9 @@ from glossmill.functions.ranges import quantiles, value_ranks
 
 def average_ranks(df: DataFrame, value: str, groups: Sequence[str], out: str, descending: bool = False) -> DataFrame:
     """Average rank of ties among non-NULL values of a group; NULL values get NULL. Groups may be of any size."""
-    known = value_ranks(df, value, groups)
+    known = value_ranks(df.select(*groups, F.col(value).alias("_ranked")), "_ranked", groups)
     below = F.col("total") - F.col("before") - F.col("n") if descending else F.col("before")
-    return df.join(known.select(*groups, value, (below + (F.col("n") + 1) / 2.0).alias(out)), [*groups, value], "left")
+    return df.join(known.select(*groups, F.col("_ranked").alias(value), (below + (F.col("n") + 1) / 2.0).alias(out)), [*groups, value], "left")
 
 
 def percentile_ranks(df: DataFrame, value: str, groups: Sequence[str], out: str, descending: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.functions.ranges import running
 from glossmill.operators.checks import ModelError
 
 Model = Callable[[DataFrame], DataFrame]
@@ -63,15 +64,37 @@ def ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float =
 
 
 def ridge_cv(train: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float] = (1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0), k: int = 5) -> tuple[Model, float]:
-    """Ridge whose alpha has the least squared error over folds (column cv_fold): fold Gram matrices add up, so one pass per fold serves every alpha."""
+    """Ridge whose alpha has the least squared error over folds (column cv_fold 1..k).
+
+    One scan gives every fold's raw moments; those of the other folds fit a model, and a fold's own moments give its
+    error, so all alphas and folds are solved on the driver from k small matrices.
+    """
+    cols = [*features, target]
+    names = ["1", *cols]
+    value = lambda c: F.lit(1.0) if c == "1" else F.col(c).cast("double")
+    prods = [F.sum(value(a) * value(b)).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
+    size = len(names)
+    moments = {r["cv_fold"]: np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)], dtype=float) for r in train.na.drop(subset=cols).groupBy("cv_fold").agg(*prods).collect()}  # a row per fold
+    if not moments:
+        raise ModelError("no rows to fit")
+
+    def solve(m: np.ndarray, alpha: float) -> np.ndarray:
+        """Intercept and coefficients from raw moments."""
+        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+        centred = m[1:, 1:] - n * np.outer(mean, mean)
+        beta = np.linalg.solve(centred[:-1, :-1] + alpha * np.eye(len(features)), centred[:-1, -1])
+        return np.concatenate([[mean[-1] - beta @ mean[:-1]], beta])
+
+    whole = sum(moments.values())
     best = (np.inf, alphas[0])
     for alpha in alphas:
         err = 0.0
-        for fold in range(1, k + 1):
-            model, _ = ridge(train.filter(F.col("cv_fold") != fold), features, target, alpha)
-            err += model(train.filter(F.col("cv_fold") == fold)).agg(F.sum(F.pow(F.col("prediction") - F.col(target), 2))).first()[0] or 0.0
+        for fold in moments.values():
+            w = solve(whole - fold, alpha) if (whole - fold)[0, 0] > 0 else solve(whole, alpha)
+            err += fold[-1, -1] - 2 * w @ fold[:-1, -1] + w @ fold[:-1, :-1] @ w
         best = min(best, (err, alpha))
-    return ridge(train, features, target, best[1])[0], best[1]
+    w = solve(whole, best[1])
+    return linear_model(features, w[1:], w[0]), best[1]
 
 
 def mllib(kind: str, train: DataFrame, features: Sequence[str], target: str, seed: int = 42, **params: object) -> Model:
@@ -113,21 +136,18 @@ def importance(coefficients: dict[str, float], df: DataFrame) -> DataFrame:
 def permutation_importance(df: DataFrame, model: Model, features: Sequence[str], target: str, key: str, repeats: int = 3, seed: int = 42) -> DataFrame:
     """Rise of RMSE when a feature's values are dealt to other rows: feature_name, repeat, drop.
 
-    Each shuffle pairs rows by two independent hash orders' ranks within hash buckets, an equi-join, never a collect.
+    A shuffle gives every row the value of the row that has its position in another hash order; positions go by
+    ranges, so no task holds more than a range, and an equi-join deals the values.
     """
-    from pyspark.sql import Window
-
     rmse = lambda d: d.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col(target), 2)))).first()[0]
     base, out = rmse(model(df)), []
-    for f in features:
-        for r in range(repeats):
-            bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(64))
-            at = lambda s: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(s)), F.col(key)))
-            keyed = df.withColumn("_b", bucket)
-            give = keyed.select("_b", F.col(f).alias("_f"), at(seed + r + 1).alias("_i"))
-            dealt = keyed.withColumn("_i", at(seed + 1000 + r)).join(give, ["_b", "_i"]).withColumn(f, F.col("_f")).drop("_b", "_i", "_f")
-            out.append((f, r + 1, float(rmse(model(dealt)) - base)))
-    return df.sparkSession.createDataFrame(out, "feature_name string, repeat int, drop double")
+    placed = lambda d, s: running(d.withColumns({"_one": F.lit(1), "_hash": F.xxhash64(F.col(key), F.lit(s))}), "_one", ["_hash", key], "_i").drop("_one", "_hash")
+    for r in range(repeats):
+        takes, gives = placed(df, seed + 1000 + r), placed(df.select(key, *[F.col(f).alias(f"_{f}") for f in features]), seed + r + 1).drop(key)
+        dealt = takes.join(gives, "_i")
+        for f in features:
+            out.append((f, r + 1, float(rmse(model(dealt.withColumn(f, F.col(f"_{f}")))) - base)))
+    return df.sparkSession.createDataFrame(sorted(out), "feature_name string, repeat int, drop double")
 
 
 def pca(df: DataFrame, array: str, k: int, out: str = "pca") -> tuple[DataFrame, list[float]]:
