@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.functions.ranges import value_ranks
 from glossmill.functions.windows import average_ranks
 from glossmill.operators.checks import DataError
+from glossmill.session import durable
 
 
 def pearson(x: str | Column, y: str | Column) -> Column:
@@ -38,16 +40,13 @@ def _tied_pairs(values: np.ndarray) -> int:
     return int((n * (n - 1) // 2).sum())
 
 
-def kendall_arrays(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Tau-b and its normal two-sided p (ties corrected), O(n log n): discordant pairs are inversions counted by merging."""
-    keep = ~(np.isnan(x) | np.isnan(y))
-    x, y = x[keep], y[keep]
-    n = len(x)
+def inversions(values: np.ndarray) -> int:
+    """Pairs i < j with values[i] > values[j], by merging in O(n log n)."""
+    n = len(values)
     if n < 2:
-        return math.nan, math.nan
-    order = np.lexsort((y, x))
-    ys = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
-    swaps, width, run = 0, 1, ys.copy()
+        return 0
+    run = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    swaps, width = 0, 1
     while width < n:
         block = np.arange(n) // (2 * width)
         left = (np.arange(n) % (2 * width)) < width
@@ -59,25 +58,50 @@ def kendall_arrays(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         swaps += int((end - np.searchsorted(lefts, rights, "right")).sum())
         run = np.sort(keyed) - block * span
         width *= 2
+    return swaps
+
+
+def discordant(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs in which x and y strictly differ the other way round."""
+    return inversions(y[np.lexsort((y, x))])
+
+
+def tau_and_p(n: int, tx: float, ty: float, both: float, swaps: float, sums: tuple[float, ...]) -> tuple[float, float]:
+    """Tau-b and its normal two-sided p from numbers of tied pairs, discordant pairs, and the tie sums
+    (c(c-1)(2c+5), c(c-1), c(c-1)(c-2) over x's ties, then y's)."""
     total = n * (n - 1) // 2
-    tx, ty = _tied_pairs(x), _tied_pairs(y)
-    both = _tied_pairs(np.unique(np.stack([x, y]), axis=1, return_inverse=True)[1].ravel())
-    diff = total - tx - ty + both - 2 * swaps
-    if total in (tx, ty):
+    if n < 2 or total in (tx, ty):
         return math.nan, math.nan
+    diff = total - tx - ty + both - 2 * swaps
     tau = diff / math.sqrt((total - tx) * (total - ty))
-    cx, cy = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
-    v0, vt, vu = n * (n - 1) * (2 * n + 5), (cx * (cx - 1) * (2 * cx + 5)).sum(), (cy * (cy - 1) * (2 * cy + 5)).sum()
-    v1 = (cx * (cx - 1)).sum() * (cy * (cy - 1)).sum() / (2 * n * (n - 1))
-    v2 = (cx * (cx - 1) * (cx - 2)).sum() * (cy * (cy - 1) * (cy - 2)).sum() / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0
-    var = (v0 - vt - vu) / 18 + v1 + v2
+    x5, x1, x2, y5, y1, y2 = map(float, sums)
+    var = (n * (n - 1) * (2 * n + 5) - x5 - y5) / 18 + x1 * y1 / (2 * n * (n - 1)) + (x2 * y2 / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0)
     return tau, math.erfc(abs(diff) / math.sqrt(2 * var)) if var > 0 else math.nan
 
 
-def kendall(df: DataFrame, x: str, y: str, groups: Sequence[str]) -> DataFrame:
-    """Kendall tau-b and p per group, exact: groups, n, tau, p. An Arrow aggregate, so a group's pairs of numbers must fit a task (see kendall_arrays).
+def kendall_arrays(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Tau-b and its p of two arrays; pairs with a missing side don't count."""
+    keep = ~(np.isnan(x) | np.isnan(y))
+    x, y = x[keep], y[keep]
+    if len(x) < 2:
+        return math.nan, math.nan
+    both = _tied_pairs(np.unique(np.stack([x, y]), axis=1, return_inverse=True)[1].ravel())
+    sums = []
+    for v in (x, y):
+        c = np.unique(v, return_counts=True)[1].astype(float)
+        sums += [(c * (c - 1) * (2 * c + 5)).sum(), (c * (c - 1)).sum(), (c * (c - 1) * (c - 2)).sum()]
+    return tau_and_p(len(x), _tied_pairs(x), _tied_pairs(y), both, discordant(x, y), tuple(sums))
+
+
+#: Rows of a group up to which its tau is counted in one task, and blocks of a larger one by either side.
+TASK_ROWS, TASK_BLOCKS = 1_000_000, 1_000
 
-    Rows with a missing side don't count; tau is NULL where a side is constant or fewer than two rows are left.
+
+def kendall(df: DataFrame, x: str, y: str, groups: Sequence[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """Kendall tau-b and p per group, exact: groups, n, tau, p.
+
+    Rows with a missing side don't count; tau is NULL where a side is constant or fewer than two rows are left. Groups
+    of up to `task_rows` rows are counted in a task each, larger ones by blocks of their ranks (see _blocked_kendall()).
     """
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +111,58 @@ def kendall(df: DataFrame, x: str, y: str, groups: Sequence[str]) -> DataFrame:
 
     kept = df.select(*groups, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
     types = ", ".join(f"{g} {t}" for g, t in kept.dtypes if g in groups)
-    return kept.groupBy(*groups).applyInPandas(one, f"{types}, n bigint, tau double, p double")
+    large = durable(kept.groupBy(*groups).agg(F.count("*").alias("n")).filter(F.col("n") > task_rows))
+    if large.isEmpty():
+        return kept.groupBy(*groups).applyInPandas(one, f"{types}, n bigint, tau double, p double")
+    key = [kept[g].eqNullSafe(large[g]) for g in groups]
+    small = kept.join(large, key, "left_anti").groupBy(*groups).applyInPandas(one, f"{types}, n bigint, tau double, p double")
+    return small.unionByName(_blocked_kendall(kept.join(large, key, "left_semi"), groups, types, task_rows))
+
+
+def _blocked_kendall(df: DataFrame, groups: Sequence[str], types: str, task_rows: int) -> DataFrame:
+    """Tau of groups of any size (no NULL among the groups' values).
+
+    Rows are dealt to blocks by their ranks on either side; equal values share a block. A discordant pair lies in two
+    blocks on both sides (then the blocks' counts tell), or in one block of x (counted there), or in one of y but two of
+    x (counted there without the pairs that share both). Ties are aggregates.
+    """
+    groups = list(groups)
+    size = lambda total: F.greatest(F.lit(task_rows), F.ceil(total / TASK_BLOCKS))
+    side = lambda c: value_ranks(df, c, groups).select(*groups, c, F.floor(F.col("before") / size(F.col("total"))).cast("int").alias(f"b{c}"))
+    rows = durable(df.join(side("x"), [*groups, "x"]).join(side("y"), [*groups, "y"]).select(*groups, "x", "y", "bx", "by"))
+    named = [*groups, "swaps"]
+    schema = f"{types}, swaps bigint"
+
+    def in_x(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key[:-1], discordant(pdf["x"].to_numpy(), pdf["y"].to_numpy())]], columns=named)
+
+    def in_y(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        inner = sum(discordant(p["x"].to_numpy(), p["y"].to_numpy()) for _, p in pdf.groupby("bx"))
+        return pd.DataFrame([[*key[:-1], discordant(pdf["x"].to_numpy(), pdf["y"].to_numpy()) - inner]], columns=named)
+
+    def across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((int(pdf["bx"].max()) + 2, int(pdf["by"].max()) + 2), dtype=object if pdf["c"].sum() > 2**31 else np.int64)
+        grid[pdf["bx"], pdf["by"] + 1] = pdf["c"]
+        below = np.cumsum(grid, axis=1)  # of a block of x: rows in lower blocks of y, at the index of a block
+        later = np.cumsum(below[::-1], axis=0)[::-1]  # of all blocks of x from this one on
+        return pd.DataFrame([[*key, int(sum(int(c) * int(later[bx + 1, by]) for bx, by, c in zip(pdf["bx"], pdf["by"], pdf["c"])))]], columns=named)
+
+    cells = rows.groupBy(*groups, "bx", "by").agg(F.count("*").alias("c"))
+    parts = rows.groupBy(*groups, "bx").applyInPandas(in_x, schema).unionByName(rows.groupBy(*groups, "by").applyInPandas(in_y, schema)).unionByName(cells.groupBy(*groups).applyInPandas(across, schema))
+    out = parts.groupBy(*groups).agg(F.sum("swaps").alias("swaps"))
+    c = F.col("c").cast("double")
+    for name, by in (("x", ["x"]), ("y", ["y"]), ("b", ["x", "y"])):
+        ties = rows.groupBy(*groups, *by).agg(F.count("*").alias("c")).groupBy(*groups)
+        sums = [F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t"), F.sum(c * (c - 1) * (2 * c + 5)).alias("s5"), F.sum(c * (c - 1)).alias("s1"), F.sum(c * (c - 1) * (c - 2)).alias("s2")]
+        out = out.join(ties.agg(F.struct(*sums).alias(name)), groups)
+
+    def finish(batches):
+        for pdf in batches:
+            found = [tau_and_p(int(n), tx, ty, tb, s, tuple(ss)) for n, tx, ty, tb, s, *ss in pdf[["n", "tx", "ty", "tb", "swaps", "x5", "x1", "x2", "y5", "y1", "y2"]].itertuples(index=False)]
+            yield pdf[[*groups, "n"]].assign(tau=[None if math.isnan(v) else v for v, _ in found], p=[None if math.isnan(v) else v for _, v in found])
+
+    flat = out.select(*groups, "x.n", F.col("x.t").alias("tx"), F.col("y.t").alias("ty"), F.col("b.t").alias("tb"), "swaps", *[F.col(f"{s}.s{k}").alias(f"{s}{k}") for s in "xy" for k in (5, 1, 2)])
+    return flat.mapInPandas(finish, f"{types}, n bigint, tau double, p double")  # a row for each large group
 
 
 def with_tau(metrics: DataFrame, df: DataFrame, gold: str, pred: str, groups: Sequence[str] = (), least: int = 3) -> DataFrame:

@@ -13,7 +13,7 @@ from glossmill.features.language import built_in_scores, ngram_model, shortlist
 from glossmill.features.tags import best_token, lemma_map, semantic_tags
 from glossmill.functions.ranges import min_ranks, quantiles, value_ranks
 from glossmill.functions.similarity import cognate_columns
-from glossmill.functions.stats import bootstrap_difference, evaluate, register_metric
+from glossmill.functions.stats import bootstrap_difference, evaluate, kendall, register_metric
 from glossmill.functions.windows import average_ranks
 from glossmill.ml import models, pipeline
 from glossmill.operators import columns
@@ -38,6 +38,16 @@ def test_quantiles_and_ranks_against_numpy(spark):
     assert quantiles(df.filter("false"), "v", [0.5]).first().total is None and value_ranks(df.filter("false"), "v").count() == 0
 
 
+def test_kendall_by_blocks_equals_one_task(spark):
+    rng = random.Random(7)
+    rows = [("a" if i % 4 else "b", float(rng.randint(0, 40)), rng.choice([rng.random() * 20, float(rng.randint(0, 5)), None])) for i in range(900)] + [("c", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    whole, blocks = ({r.g: (r.n, r.tau, r.p) for r in kendall(df, "x", "y", ["g"], task_rows=n).collect()} for n in (10_000, 25))
+    assert set(whole) == set(blocks) == set("abc") and whole["c"] == blocks["c"] == (1, None, None)
+    for g in "ab":
+        assert blocks[g][0] == whole[g][0] and blocks[g][1:] == pytest.approx(whole[g][1:], abs=1e-12)
+
+
 def test_column_steps(spark):
     df = spark.createDataFrame([(1, "5", None, 0.0, 2.0), (2, "x", "t", 0.0, 0.0)], "k int, s string, t string, z double, y double")
     assert [r.s for r in columns.cast_columns(df, {"s": "double"}).collect()] == [5.0, None]
