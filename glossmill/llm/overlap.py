@@ -114,8 +114,9 @@ def overlap_classes(items: DataFrame, refs: DataFrame, agree: float = 0.85) -> t
     asked = asked_meanings(items, refs).filter("word_ref > 0 AND source_ref > 0 AND load_l1 IS NOT NULL AND L1_context IS NOT NULL AND split IN ('train', 'dev', 'test')")
     grouped = asked.withColumn("g", F.concat_ws("|", "load_l1", "word_ref", "source_ref")).withColumn("is_train", F.col("split") == "train")
     both = grouped.groupBy("g").agg(F.max("is_train").alias("t"), F.min("is_train").alias("e")).filter("t AND NOT e").select("g")
-    rows = spread(grouped.join(both, "g"), "row_id").withColumn("tokens", bag(F.col("L1_context"), F.col("load_l1"))).filter(F.size("tokens") > 0)
-    rows = durable(rows.withColumn("id", F.md5(F.concat_ws("\x02", "g", F.array_join("tokens", "\x03")))).select("row_id", "split", "source", "g", "load_l1", "is_train", "tokens", "id"))
+    rows = spread(grouped.join(both, "g"), "row_id").withColumn("tokens", bag(F.col("L1_context"), F.col("load_l1")))
+    # the filter follows the written table: before it, it would be pushed below the exchange and make every bag twice
+    rows = durable(rows.withColumn("id", F.md5(F.concat_ws("\x02", "g", F.array_join("tokens", "\x03")))).select("row_id", "split", "source", "g", "load_l1", "is_train", "tokens", "id")).filter(F.size("tokens") > 0)
     bags = rows.groupBy("id").agg(F.first("g").alias("g"), F.first("load_l1").alias("language"), F.first("tokens").alias("tokens"), F.max("is_train").alias("is_train"), (~F.min("is_train")).alias("is_eval"))
     return rows.select("row_id", "split", "source", "id", "is_train"), durable(near_pairs(durable(bags), agree))
 
