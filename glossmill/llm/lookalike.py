@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from glossmill.functions.text import BLANKS, INVISIBLE, compose, let, look_alike_map
 
+#: Single letters that Unicode composes to another single one (Kelvin and Angstrom signs, compatibility ideographs), and those.
+TWINS = {chr(p): unicodedata.normalize("NFC", chr(p)) for p in range(0x80, 0x2FA20) if unicodedata.category(chr(p))[0] == "L" and unicodedata.normalize("NFC", chr(p)) != chr(p) and len(unicodedata.normalize("NFC", chr(p))) == 1}
+
 #: Only values with one of these can change: everything else is its own canonical form.
-SUSPICIOUS = "[\\p{M}\\p{IsGreek}\\p{IsCyrillic}\\x{ff10}-\\x{ff19}\\x{ff21}-\\x{ff3a}\\x{ff41}-\\x{ff5a}\\x{fb00}-\\x{fb06}\\x{132}\\x{133}\\x{1c4}-\\x{1cc}\\x{1f1}-\\x{1f3}\\x{2e80}-\\x{2fd5}" + "".join(f"\\x{{{ord(c):x}}}" for c in INVISIBLE + BLANKS) + "]"
+SUSPICIOUS = "[\\p{M}\\p{IsGreek}\\p{IsCyrillic}\\x{2126}\\x{212a}\\x{212b}\\x{f900}-\\x{faff}\\x{2f800}-\\x{2fa1f}\\x{ff10}-\\x{ff19}\\x{ff21}-\\x{ff3a}\\x{ff41}-\\x{ff5a}\\x{fb00}-\\x{fb06}\\x{132}\\x{133}\\x{1c4}-\\x{1cc}\\x{1f1}-\\x{1f3}\\x{2e80}-\\x{2fd5}" + "".join(f"\\x{{{ord(c):x}}}" for c in INVISIBLE + BLANKS) + "]"
 
 #: Texts of nothing but these, most of all, can't: a quick test before the long one.
 SAFE = "^[\\x00-\\x7f\\x{c0}-\\x{ff}\\x{4e00}-\\x{9fff}\\x{a1}-\\x{ac}\\x{ae}-\\x{bf}\\x{3001}-\\x{3029}\\x{ff01}-\\x{ff0f}\\x{ff1a}-\\x{ff20}\\x{2010}-\\x{2027}]*+$"
@@ -62,20 +65,22 @@ def letters_and_marks(c: Column) -> Column:
     return F.array_sort(F.regexp_extract_all(F.array_join(apart(c), ""), F.lit("(?s)."), F.lit(0)))
 
 
-def consistent_values(rows: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
+def consistent_values(rows: DataFrame, fields: Sequence[str], keys: Sequence[str], every: bool = False) -> DataFrame:
     """Values that may be disguised with their consistent form: keys, field_name, value, consistent, changed.
 
-    Every row and field counts for the classes; only suspicious values come out (others are consistent as they
-    are). NULL gives no row, an empty text is consistent; repeated rows each come out; values are never cut.
+    Every row and field counts for the classes. every: all values come out, those that can't be disguised as they
+    are; else the suspicious ones only. NULL gives no row, an empty text is consistent; repeated rows each come out; values are never cut.
     Names of the carried keys must differ from field_name, value, mapped.
     """
     spark = rows.sparkSession
     long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x")).select(*keys, "x.field_name", "x.value").filter("value IS NOT NULL")
     long = long.withColumn("suspicious", F.when(F.col("value").rlike(SAFE), False).otherwise(F.col("value").rlike(SUSPICIOUS)))
-    mapped = long.withColumn("mapped", F.when(F.col("suspicious"), look_alike_map(F.col("value"))).otherwise(F.col("value")))
+    mapped = long.withColumn("mapped", F.when(F.col("suspicious"), look_alike_map(F.translate("value", "".join(TWINS), "".join(TWINS.values())))).otherwise(F.col("value")))
     classes = spark.sql(CLASSES, values=mapped.select("field_name", "mapped"))
     joined = spark.sql(JOINED, values=mapped.filter("suspicious").drop("suspicious"), classes=classes)
     joined = joined.withColumns({"own": compose_stacks(F.col("mapped")), "form": compose_stacks(F.col("member"))})
     same = (F.col("own") == F.col("form")) | (letters_and_marks(F.col("own")) == letters_and_marks(F.col("form")))
     out = joined.withColumn("consistent", F.when(same, F.col("form")).otherwise(F.col("own")))
-    return out.select(*keys, "field_name", "value", "consistent", (F.col("consistent") != F.col("value")).alias("changed"))
+    out = out.select(*keys, "field_name", "value", "consistent", (F.col("consistent") != F.col("value")).alias("changed"))
+    plain = long.filter("NOT suspicious").select(*keys, "field_name", "value", F.col("value").alias("consistent"), F.lit(False).alias("changed"))
+    return out.unionByName(plain) if every else out

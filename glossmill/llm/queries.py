@@ -80,8 +80,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_consistent(spark: SparkSession, folder: str) -> DataFrame:
-    """The consistent form of every suspicious field."""
-    return consistent_values(table(spark, folder, "items"), TEXT_FIELDS, ["row_id"]).select("row_id", "field_name", "consistent", "changed")
+    """The consistent form of every field that isn't NULL."""
+    return consistent_values(table(spark, folder, "items"), TEXT_FIELDS, ["row_id"], every=True).select("row_id", "field_name", "consistent", "changed")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
