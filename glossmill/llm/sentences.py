@@ -49,8 +49,6 @@ STRONG, SOFT, NEVER, ALONE, TINY, EACH = 4.0, 3.0, -9.0, -12.0, -3.0, -0.5
 # A listed mark before a capital outweighs what two spans can lose by their lengths, 2 * LENGTH; learned words leave it open.
 #: The length score is -CURVE z², at least -LENGTH; word scores lie within these bounds.
 CURVE, LENGTH, CLOSING, OPENING = 0.1, 1.0, (-8.0, 1.0), (-1.0, 1.0)
-#: Documents whose certain marks fit the word and length scores, at most; chosen by a hash of doc_id.
-SAMPLE_DOCS = 20_000
 
 
 @dataclass(frozen=True)
@@ -254,17 +252,15 @@ def _block(text: str, start: int, end: int, chinese: bool, model: Model) -> list
     return spans
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """Scores of closing words, opening words and lengths from marks whose label is certain, in at most `sample` documents.
+def fit(documents: DataFrame) -> Model:
+    """Scores of closing words, opening words and lengths from marks whose label is certain, in all documents.
 
     A full stop before a blank line or the text's end closes a sentence, one before a lower-case word or a comma
     doesn't; a block's first word opens one, a capital after a lower-case word doesn't; a block with one mark, at its
     end, is one sentence. Scores are log odds against those of all words, drawn to 0 by ten words' worth of doubt.
-    Documents are chosen by a hash, so the sample is the same under any partitioning; their words go to the driver.
+    Counts are made in the cluster; the driver sees one row per distinct word of such a place.
     """
-    texts = documents.select("doc_id", "text").filter("text <> ''")
-    share = min(1.0, sample / max(1, texts.count()))
-    picked = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < round(share * 1_000_000))
+    texts = documents.select("text").filter("text <> ''")
     found = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
     word = lambda kind: lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word"), F.lit(None).cast("double").alias("v"))
     closed = F.transform(F.transform(found("([\\p{L}\\p{M}]++)\\.[\"”»’)]*+(?:\\s*+\\z|[^\\S\\n]*+\\n\\s*?\\n)", 1), F.lower), word("end"))
@@ -273,7 +269,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     inner = F.transform(found("[\\p{Ll}\\p{M},] (\\p{Lu}[\\p{L}\\p{M}]*+)", 1), word("inner"))
     single = F.filter(F.transform(F.split("text", "\\n\\s*?\\n"), lambda b: F.trim(b)), lambda b: b.rlike("^[^.!?…。！？]++[.!?…。！？]++[\"”»]?$"))
     sizes = F.transform(single, lambda b: F.struct(F.when(b.rlike("\\p{IsHan}"), "chinese").otherwise("other").alias("kind"), F.lit("").alias("word"), F.ln(F.length(b)).alias("v")))
-    rows = picked.select(F.explode(F.concat(closed, unclosed, opened, inner, sizes)).alias("x")).groupBy("x.kind", "x.word").agg(F.count("*").alias("n"), F.avg("x.v").alias("mean"), F.stddev_pop("x.v").alias("deviation")).collect()
+    rows = texts.select(F.explode(F.concat(closed, unclosed, opened, inner, sizes)).alias("x")).groupBy("x.kind", "x.word").agg(F.count("*").alias("n"), F.avg("x.v").alias("mean"), F.stddev_pop("x.v").alias("deviation")).collect()
     counts: dict[str, dict[str, int]] = {k: {} for k in ("end", "non", "open", "inner")}
     length = dict(Model().length)
     for r in rows:
@@ -309,7 +305,7 @@ def split_sentences(documents: DataFrame, model: Model | None = None) -> DataFra
     documents: doc_id, text. model: the fitted scores (of fit(documents) if None). NULL and empty texts give no row;
     copies each give theirs. Texts are read whole.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(fit(documents) if model is None else model)  # words of SAMPLE_DOCS documents at most
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents) if model is None else model)  # words next to certain marks
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value

@@ -211,6 +211,14 @@ def test_fit_learns_from_certain_marks(spark):
     assert fit(spark.createDataFrame([], "doc_id bigint, text string")) == Model()
 
 
+def test_fit_counts_every_document(spark):
+    # far more documents than a sample would hold; each mark is in one document only
+    texts = spark.range(25_000).selectExpr("id AS doc_id", "concat('He took zz', translate(CAST(id AS STRING), '0123456789', 'abcdefghij'), '. Then.') AS text")
+    last = spark.range(25_000).selectExpr("id + 25000 AS doc_id", "concat('It was qq', translate(CAST(id AS STRING), '0123456789', 'abcdefghij'), '.') AS text")
+    closing = fit(texts.unionByName(last)).closing
+    assert sum(w.startswith("qq") for w in closing) == 25_000 and "then" in closing
+
+
 def test_many_marks_take_little_time():
     import time
 
