@@ -15,7 +15,7 @@ from glossmill.features.lexical import lexical_group
 from glossmill.features.retrieval import baseline_columns, retrieval_columns, semantic_columns
 from glossmill.functions.similarity import cognate_columns
 from glossmill.operators.checks import ConfigError, FeatureError
-from glossmill.operators.concepts import match_concepts
+from glossmill.operators.concepts import ask, match_concepts
 from glossmill.session import durable
 
 PROTECTED = ("item_id", "L1", "L1_context", "L1_source_word", "en_target_word", "en_target_pos", "GLMM_score")
@@ -73,7 +73,7 @@ def _retrieval(df: DataFrame, r: Resources) -> DataFrame:
 
 @group("cognate")
 def _cognate(df: DataFrame, r: Resources) -> DataFrame:
-    m = match_concepts(df, r.edges, r.key, "L1", F.col("L1_source_word"), F.col("en_target_word")).select(r.key, "match_type", F.size("shared").alias("_n"))
+    m = match_concepts(ask(df, r.edges, r.key, "L1", F.col("L1_source_word"), F.col("en_target_word"))).select(r.key, "match_type", F.col("n_shared").alias("_n"))
     out = cognate_columns(df.join(m, r.key, "left"), "L1_source_word", "en_target_word", F.col("match_type"), F.col("_n"))
     parts = F.size(F.split(F.coalesce("L1_source_word", F.lit("")), "[,;|]"))
     note = F.coalesce("L1_source_word", F.lit("")).rlike("(?i)[(（]\\s*(nicht|no|la respuesta no|不)")

@@ -59,3 +59,16 @@ def test_details_coverage_and_unmatched_of_all_items(spark, folder):
         mine = [v for v in want.values() if v[0] == l1]
         assert got[l1] == (len(mine), round(sum(bool(v[1]) for v in mine) / len(mine), 6), round(sum(bool(v[2]) for v in mine) / len(mine), 6), sum(v[3] > 0 for v in mine), sum(bool(v[4]) for v in mine))
     assert [tuple(r) for r in q.top_unmatched_all(spark, folder).collect()] == [("无词", 2), ("dar", 1)]
+
+
+@pytest.mark.parametrize("name", ["enrich_coverage", "enrich_coverage_all", "concept_alternatives", "concept_alternatives_all", "concept_detail"])
+def test_lists_of_a_frequent_word_do_not_travel_with_items(spark, tmp_path, name):
+    n, items = 2_000, 400
+    spark.range(items).selectExpr("id AS row_id", "1L AS load_id", "'es' AS L1", "'casa' AS L1_source_word", "'' AS L1_context", "if(id < 200, 'house', concat('t', id)) AS en_target_word").write.parquet(f"{tmp_path}/items.parquet")
+    pair = "concept_id string, lang_1 string, word_1 string, lang_2 string, word_2 string, translit_1 string, translit_2 string"
+    edges = [(f"c{i:06d}", "spa", "casa", "eng", w, None, None) for i in range(n) for w in ("house", f"w{i}")]
+    spark.createDataFrame(edges, pair).coalesce(2).write.parquet(f"{tmp_path}/cognet_edges.parquet")
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = moved()
+    q.QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert moved() - before < 1_200_000  # a list for every item or question is several MB
