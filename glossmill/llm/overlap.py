@@ -18,14 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import fold_case, is_missing, let, occurrences
-from glossmill.llm.canonical import closest_entries, with_language
+from glossmill.llm.canonical import closest_entries
 from glossmill.operators.delimited import distinct_fields, parse_fields
-from glossmill.session import durable, spread
+from glossmill.operators.fill import load_languages
+from glossmill.session import durable, settle, spread
 
 #: Rare tokens of a bag that is indexed by their pairs, at most (496 pairs); bags with more go by single tokens.
 RARE_TOKENS = 32
-#: Vocabularies up to this many tokens are broadcast (about 20 MB); larger ones are joined by a shuffle.
+#: Tokens whose frequencies are broadcast, at most (about 20 MB): the most frequent ones.
 BROADCAST_TOKENS = 200_000
+#: Languages of loads, and candidate pairs, up to these numbers are broadcast (about 10 MB each); more are joined by a shuffle.
+BROADCAST_LOADS, BROADCAST_PAIRS = 100_000, 200_000
 
 
 def bag(context: Column, language: Column) -> Column:
@@ -58,50 +61,77 @@ def _keys(prefix: Column, size: Column, agree: float) -> Column:
     return F.concat(F.when(size <= paired, pairs).otherwise(none), F.when((size >= single) | (size <= tiny), singles).otherwise(none))
 
 
+def _common(counts: DataFrame) -> DataFrame:
+    """The most frequent tokens, BROADCAST_TOKENS at most: language, token, freq. The rest counts as rare alike."""
+    if counts.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
+        return counts
+    cut, many = None, 0
+    for row in counts.groupBy("freq").count().orderBy(F.desc("freq")).toLocalIterator():  # a row per distinct frequency, the largest first
+        many += row["count"]
+        if many > BROADCAST_TOKENS:
+            break
+        cut = row["freq"]
+    return counts.filter(F.lit(False) if cut is None else F.col("freq") >= cut)
+
+
+def _bits(token: Column, half: int) -> Column:
+    """The bit that stands for a token in one half of a bag's signature of 128 bits."""
+    h = F.xxhash64(token)
+    return F.when(h.bitwiseAND(64) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+
+
 def near_pairs(bags: DataFrame, agree: float = 0.85) -> DataFrame:
     """Pairs of an evaluation bag and a training bag of one group that agree: eval_id, train_id, similarity.
 
     bags: id (unique), g (group key), language, tokens (numbered set), is_train, is_eval. Empty bags agree with
     nothing; a bag on both sides agrees with itself. Exact: no candidate is dropped but by a proven bound.
+    Bags go by a number; their tokens move once, and again only those of candidates.
     """
-    spread_bags = durable(spread(bags, "id"))
-    freq = spread_bags.select("language", F.explode("tokens").alias("token")).groupBy("language", "token").agg(F.count("*").alias("freq"))
-    # numbers that follow global rarity: written once, so every reader sees the same ones
-    vocabulary = durable(freq.orderBy("freq", "language", "token").select("language", "token", F.monotonically_increasing_id().alias("rank")))
-    small = vocabulary.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
-    tokens = spread(spread_bags, "id").select("id", "g", "is_train", "is_eval", "language", F.explode("tokens").alias("token"))
-    # tokens stay with their bag: with a vocabulary of bounded size neither the join nor the aggregate moves them
-    ranked = tokens.join(F.broadcast(vocabulary) if small else vocabulary, ["language", "token"])
-    ready = ranked.groupBy("id").agg(F.first("g").alias("g"), F.first("is_train").alias("is_train"), F.first("is_eval").alias("is_eval"), F.array_sort(F.collect_list("rank")).alias("tokens"))
-    ready = durable(ready.withColumn("size", F.size("tokens")))
-    posted = ready.select("id", "g", "is_train", "is_eval", "size", F.explode(_keys(F.col("tokens"), F.col("size"), agree)).alias("x")).select("id", "is_train", "is_eval", "size", F.xxhash64("g", "x.k").alias("k"), F.col("x.at").alias("at"))
-    index = posted.filter("is_eval").select("k", F.col("id").alias("eval_id"), F.col("size").alias("es"), F.col("at").alias("ea"))
-    probe = posted.filter("is_train").select("k", F.col("id").alias("train_id"), F.col("size").alias("ts"), F.col("at").alias("ta"))
+    numbered = durable(bags.select(F.monotonically_increasing_id().alias("no"), "id", "g", "language", "tokens", "is_train", "is_eval"))
+    counts = durable(numbered.select("language", F.explode("tokens").alias("token")).groupBy("language", "token").agg(F.count("*").alias("freq")))
+    # any order of tokens that all bags share is exact, rarity makes it fast: what is rarer than the broadcast tokens stands first
+    tokens = spread(numbered, "no").select("no", "g", "is_train", "is_eval", "language", F.explode("tokens").alias("token"))
+    ranked = tokens.join(F.broadcast(_common(counts)), ["language", "token"], "left").select("no", "g", "is_train", "is_eval", F.struct(F.coalesce("freq", F.lit(0)).alias("f"), "token").alias("t"))
+    halves = [F.bit_or(_bits(F.col("t.token"), i)).alias(f"s{i}") for i in (0, 1)]
+    whole = ranked.groupBy("no").agg(F.first("g").alias("g"), F.first("is_train").alias("is_train"), F.first("is_eval").alias("is_eval"), F.count("*").cast("int").alias("size"), *halves, F.array_sort(F.collect_list("t")).alias("p"))
+    rare = F.slice("p", F.lit(1), F.least("size", (F.col("size") - F.ceil(F.col("size") * agree - 1e-9) + 2).cast("int")))
+    ready = durable(whole.select("no", "g", "is_train", "is_eval", "size", "s0", "s1", F.transform(rare, lambda t: t["token"]).alias("p")))
+    posted = ready.select("no", "g", "is_train", "is_eval", "size", "s0", "s1", F.explode(_keys(F.col("p"), F.col("size"), agree)).alias("x")).select("no", "is_train", "is_eval", "size", "s0", "s1", F.xxhash64("g", "x.k").alias("k"), F.col("x.at").alias("at"))
+    index = posted.filter("is_eval").select("k", F.col("no").alias("eval_no"), F.col("size").alias("es"), F.col("at").alias("ea"), F.col("s0").alias("e0"), F.col("s1").alias("e1"))
+    probe = posted.filter("is_train").select("k", F.col("no").alias("train_no"), F.col("size").alias("ts"), F.col("at").alias("ta"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
     need = F.ceil(F.greatest("es", "ts") * agree - 1e-9)
-    met = probe.join(index, "k").filter("eval_id <> train_id").filter(F.least("es", "ts") >= need)  # length
+    met = probe.join(index, "k").filter("eval_no <> train_no").filter(F.least("es", "ts") >= need)  # length
     met = met.filter(F.least("ea", "ta") + F.least(F.col("es") - F.col("ea"), F.col("ts") - F.col("ta")) >= need)  # position
-    met = spread(met.select("eval_id", "train_id"), "eval_id", "train_id").distinct()
-    side = lambda name: ready.select(F.col("id").alias(f"{name}_id"), F.col("g").alias(f"{name}_g"), F.col("tokens").alias(f"{name}_tokens"))
-    full = met.join(side("eval"), "eval_id").join(side("train"), "train_id").filter("eval_g = train_g")
+    # signature: every bit that differs is there for another token of one bag only, of which es + ts - 2 need may be
+    met = met.filter(F.bit_count(F.col("e0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("e1").bitwiseXOR(F.col("t1"))) <= F.col("es") + F.col("ts") - 2 * need)
+    met = durable(met.select("eval_no", "train_no").distinct())
+    few = met.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    asked = met.select(F.explode(F.array("eval_no", "train_no")).alias("no")).distinct()
+    wanted = durable(numbered.select("no", "id", "g", "tokens").join(F.broadcast(asked) if few else asked, "no"))
+    side = lambda name: wanted.select(*[F.col(c).alias(f"{name}_{c}") for c in ("no", "id", "g", "tokens")])
+    full = met.join(side("eval"), "eval_no").join(side("train"), "train_no").filter("eval_g = train_g")
     shared = full.withColumn("similarity", F.size(F.array_intersect("eval_tokens", "train_tokens")) / F.greatest(F.size("eval_tokens"), F.size("train_tokens")))
-    same = ready.filter("is_train AND is_eval").select(F.col("id").alias("eval_id"), F.col("id").alias("train_id"), F.lit(1.0).alias("similarity"))
+    same = numbered.filter("is_train AND is_eval AND size(tokens) > 0").select(F.col("id").alias("eval_id"), F.col("id").alias("train_id"), F.lit(1.0).alias("similarity"))
     return shared.filter(F.col("similarity") >= agree - 1e-9).select("eval_id", "train_id", "similarity").unionByName(same)
 
 
-def asked_meanings(items: DataFrame, refs: DataFrame) -> DataFrame:
-    """What every record asks: row_id, split, source, load_l1, L1_context, word_ref, source_ref (0: no entry).
+def asked_groups(items: DataFrame, refs: DataFrame) -> DataFrame:
+    """What distinct words ask, where a train and another record ask it: load_l1, en_target_word, L1_source_word, g.
 
-    word_ref is the entry meant by en_target_word, source_ref the one meant by the first value of L1_source_word.
+    items: load_l1, en_target_word, L1_source_word, is_train. g: L1 of the load, the entry meant by en_target_word and
+    the one meant by the first value of L1_source_word; words that mean none ask nothing.
     """
-    base = durable(with_language(items.select("row_id", "load_id", "L1", "split", "source", "L1_context", "L1_source_word", "en_target_word")).drop("L1", "load_id"))
-    words = base.filter(~is_missing(F.col("en_target_word"))).select(F.lit("en_target_word").alias("field_name"), F.lit("").alias("l1"), F.col("en_target_word").alias("value")).distinct()
+    key = ["load_l1", "en_target_word", "L1_source_word"]
+    base = durable(items.filter(~is_missing(F.col("en_target_word")) & F.col("L1_source_word").isNotNull()).groupBy(*key).agg(F.max("is_train").alias("t"), F.min("is_train").alias("e")))
+    words = base.select(F.lit("en_target_word").alias("field_name"), F.lit("").alias("l1"), F.col("en_target_word").alias("value")).distinct()
     first = durable(parse_fields(distinct_fields(base, "L1_source_word")).filter(F.size("parts") > 0).select("field", F.get("parts", F.lit(0)).alias("value")))
-    sources = base.select("load_l1", F.col("L1_source_word").alias("field")).filter("load_l1 IS NOT NULL").distinct().join(first, "field").select(F.lit("L1_source_word").alias("field_name"), F.col("load_l1").alias("l1"), "value", "field")
-    meant = durable(closest_entries(words.unionByName(sources.select("field_name", "l1", "value").distinct()), refs))
-    word_ref = meant.filter("field_name = 'en_target_word'").select(F.col("value").alias("en_target_word"), F.col("ref_id").alias("word_ref"), F.col("canonical").alias("headword"))
+    sources = base.select("load_l1", F.col("L1_source_word").alias("field")).distinct().join(first, "field").select(F.lit("L1_source_word").alias("field_name"), F.col("load_l1").alias("l1"), "value", "field")
+    meant = settle(items.sparkSession, lambda: closest_entries(words.unionByName(sources.select("field_name", "l1", "value").distinct()), refs)).filter("ref_id > 0")
+    word_ref = meant.filter("field_name = 'en_target_word'").select(F.col("value").alias("en_target_word"), F.col("ref_id").alias("word_ref"))
     source_ref = sources.join(meant.filter("field_name = 'L1_source_word'"), ["field_name", "l1", "value"]).select(F.col("l1").alias("load_l1"), F.col("field").alias("L1_source_word"), F.col("ref_id").alias("source_ref"))
-    out = base.join(word_ref, "en_target_word", "left").join(source_ref, ["load_l1", "L1_source_word"], "left")
-    return out.select("row_id", "split", "source", "load_l1", "L1_context", "headword", F.coalesce("word_ref", F.lit(0)).alias("word_ref"), F.coalesce("source_ref", F.lit(0)).alias("source_ref"))
+    asked = durable(base.join(word_ref, "en_target_word").join(source_ref, ["load_l1", "L1_source_word"]).select(*key, "t", "e", F.concat_ws("|", "load_l1", "word_ref", "source_ref").alias("g")))
+    both = asked.groupBy("g").agg(F.max("t").alias("t"), F.min("e").alias("e")).filter("t AND NOT e").select("g")
+    return asked.select(*key, "g").join(both, "g")
 
 
 def overlap_classes(items: DataFrame, refs: DataFrame, agree: float = 0.85) -> tuple[DataFrame, DataFrame]:
@@ -109,16 +139,22 @@ def overlap_classes(items: DataFrame, refs: DataFrame, agree: float = 0.85) -> t
 
     Records: row_id, split, source, id (class), is_train. Pairs: eval_id, train_id, similarity. A question is the L1 of
     the load, the headword and first source word meant, and the context's bag. Records without an entry for either
-    word, without context tokens, or of a load without L1 are in no class.
+    word, without context tokens, or of a load without L1 are in no class. Contexts move only to their words' group.
     """
-    asked = asked_meanings(items, refs).filter("word_ref > 0 AND source_ref > 0 AND load_l1 IS NOT NULL AND L1_context IS NOT NULL AND split IN ('train', 'dev', 'test')")
-    grouped = asked.withColumn("g", F.concat_ws("|", "load_l1", "word_ref", "source_ref")).withColumn("is_train", F.col("split") == "train")
-    both = grouped.groupBy("g").agg(F.max("is_train").alias("t"), F.min("is_train").alias("e")).filter("t AND NOT e").select("g")
-    rows = spread(grouped.join(both, "g"), "row_id").withColumn("tokens", bag(F.col("L1_context"), F.col("load_l1")))
+    spark = items.sparkSession
+
+    def grouped() -> DataFrame:
+        loads = durable(load_languages(items).select("load_id", F.col("l1").alias("load_l1")))
+        base = items.select("row_id", "load_id", "split", "source", "L1_context", "L1_source_word", "en_target_word").filter("L1_context IS NOT NULL AND split IN ('train', 'dev', 'test')")
+        base = base.join(F.broadcast(loads) if loads.limit(BROADCAST_LOADS + 1).count() <= BROADCAST_LOADS else loads, "load_id").drop("load_id").withColumn("is_train", F.col("split") == "train")
+        groups = settle(spark, lambda: asked_groups(base, refs))
+        rows = spread(base.join(groups, ["load_l1", "en_target_word", "L1_source_word"]).drop("en_target_word", "L1_source_word"), "row_id").withColumn("tokens", bag(F.col("L1_context"), F.col("load_l1")))
+        return rows.withColumn("id", F.md5(F.concat_ws("\x02", "g", F.array_join("tokens", "\x03")))).select("row_id", "split", "source", "g", "load_l1", "is_train", "tokens", "id")
+
     # the filter follows the written table: before it, it would be pushed below the exchange and make every bag twice
-    rows = durable(rows.withColumn("id", F.md5(F.concat_ws("\x02", "g", F.array_join("tokens", "\x03")))).select("row_id", "split", "source", "g", "load_l1", "is_train", "tokens", "id")).filter(F.size("tokens") > 0)
-    bags = rows.groupBy("id").agg(F.first("g").alias("g"), F.first("load_l1").alias("language"), F.first("tokens").alias("tokens"), F.max("is_train").alias("is_train"), (~F.min("is_train")).alias("is_eval"))
-    return rows.select("row_id", "split", "source", "id", "is_train"), durable(near_pairs(durable(bags), agree))
+    rows = settle(spark, grouped).filter(F.size("tokens") > 0)
+    bags = spread(rows, "id").groupBy("id").agg(F.first("g").alias("g"), F.first("load_l1").alias("language"), F.first("tokens").alias("tokens"), F.max("is_train").alias("is_train"), (~F.min("is_train")).alias("is_eval"))
+    return rows.select("row_id", "split", "source", "id", "is_train"), settle(spark, lambda: near_pairs(bags, agree))
 
 
 def cross_split_pairs(items: DataFrame, refs: DataFrame, agree: float = 0.85) -> DataFrame:

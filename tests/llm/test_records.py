@@ -1,14 +1,19 @@
 """Canonical mapping, look-alike classes, component splits and cross-split overlap against brute force."""
 
+import os
 import random
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from glossmill.llm import overlap
 from glossmill.llm.canonical import closest_entries
 from glossmill.llm.lookalike import consistent_values
 from glossmill.llm.overlap import cross_split_pairs, near_pairs, ways
 from glossmill.llm.splits import PROPORTIONS, assign, components, deal, read_components, update
+from glossmill.session import durable, shared_dir
 
 REFS = "ref_id bigint, field_name string, L1 string, canonical string, aliases string"
 WORD, SOURCE = "en_target_word", "L1_source_word"
@@ -180,3 +185,40 @@ def test_cross_split_pairs(spark):
     got = {(r.train_row, r.eval_row) for r in cross_split_pairs(items, names).collect()}
     assert got == {(1, 2), (1, 3), (5, 2), (5, 3)}
     assert cross_split_pairs(items.filter("false"), names).count() == 0
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffles_and_few_tables(spark):
+    """p1's disk: a written step takes its shuffle files with it, and the pairs leave the two tables that they read."""
+    def waits_for(left):
+        until = time.time() + 20  # shuffles are removed in the background
+        while not left() and time.time() < until:
+            time.sleep(0.2)
+        return left()
+
+    had = shuffle_files(spark)
+    kept = durable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    rows = shuffle_files(spark) - had
+    assert kept.count() == 7 and waits_for(lambda: not rows & shuffle_files(spark))
+    folder = shared_dir(spark).removeprefix("file://")
+    items = spark.createDataFrame([(i, "es", "train" if i % 2 else "dev", f"uno dos tres cuatro {i % 5}", "isla", "island", "s", 1, None) for i in range(20)], "row_id bigint, L1 string, split string, L1_context string, L1_source_word string, en_target_word string, source string, load_id bigint, tokens string")
+    names = spark.createDataFrame([(1, WORD, None, "island", None), (2, SOURCE, "es", "isla", None)], REFS)
+    tables = set(os.listdir(folder))
+    pairs = cross_split_pairs(items, names)
+    assert len(set(os.listdir(folder)) - tables) == 2 and pairs.count() == 20
+
+
+@pytest.mark.parametrize("tokens", [0, 3, 40])
+def test_near_pairs_with_more_tokens_than_are_broadcast(spark, monkeypatch, tokens):
+    rng = random.Random(4)
+    rows = [(str(i), "g", "es", numbered([f"w{min(rng.randrange(90), rng.randrange(90))}" for _ in range(12)]), i % 2 == 0, i % 3 == 0) for i in range(60)]
+    rows += [(f"c{i}", "g", "es", [*r[3][:11], "new#1"], not r[4], not r[5]) for i, r in enumerate(rows[:30])]
+    monkeypatch.setattr(overlap, "BROADCAST_TOKENS", tokens)
+    monkeypatch.setattr(overlap, "BROADCAST_PAIRS", 5)
+    got = {(r.eval_id, r.train_id) for r in near_pairs(spark.createDataFrame(rows, BAGS), 0.85).collect()}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[5] and b[4] and len(set(a[3]) & set(b[3])) >= 0.85 * 12}
+    assert got == want and len(want) > 30
