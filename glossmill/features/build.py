@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.features.frequency import frequency_group
-from glossmill.features.language import language_group, predicted_words
+from glossmill.features.language import clue_predictions, language_group, word_scores
 from glossmill.features.lexical import lexical_group
 from glossmill.features.retrieval import baseline_columns, retrieval_columns, semantic_columns
 from glossmill.functions.similarity import cognate_columns
 from glossmill.operators.checks import ConfigError, FeatureError
 from glossmill.operators.concepts import ask, match_concepts
-from glossmill.session import durable
+from glossmill.session import bounded, durable
 
 PROTECTED = ("item_id", "L1", "L1_context", "L1_source_word", "en_target_word", "en_target_pos", "GLMM_score")
 
@@ -32,6 +32,8 @@ class Resources:
     extra: dict = field(default_factory=dict)
 
 
+#: Where a build keeps the words' scores in Resources.extra.
+SCORES = "word_scores"
 Group = Callable[[DataFrame, Resources], DataFrame]
 REGISTRY: dict[str, Group] = {}
 
@@ -56,14 +58,21 @@ def _lexical(df: DataFrame, r: Resources) -> DataFrame:
     return lexical_group(df)
 
 
+def _scores(df: DataFrame, r: Resources) -> DataFrame:
+    """Scores of the words, made once for the groups of a build."""
+    if SCORES not in r.extra:
+        r.extra[SCORES] = word_scores(df, r.corpus)
+    return r.extra[SCORES]
+
+
 @group("mlm")
 def _mlm(df: DataFrame, r: Resources) -> DataFrame:
-    return language_group(df, r.corpus, columns=("mlm_log_prob", "mlm_rank", "mlm_entropy"))
+    return language_group(df, r.corpus, scores=_scores(df, r), columns=("mlm_log_prob", "mlm_rank", "mlm_entropy"))
 
 
 @group("surprisal")
 def _surprisal(df: DataFrame, r: Resources) -> DataFrame:
-    return language_group(df, r.corpus, columns=("surprisal_masked", "surprisal_pll", "surprisal_subword_mean", "surprisal_subword_sum"))
+    return language_group(df, r.corpus, scores=_scores(df, r), columns=("surprisal_masked", "surprisal_pll", "surprisal_subword_mean", "surprisal_subword_sum"))
 
 
 @group("retrieval")
@@ -88,9 +97,9 @@ def _semantic(df: DataFrame, r: Resources) -> DataFrame:
 
 @group("mlm_predicted_word")
 def _predicted(df: DataFrame, r: Resources) -> DataFrame:
-    found = predicted_words(df, r.corpus, r.key, "en_target_clue")
+    found = durable(clue_predictions(df, r.corpus, "en_target_clue")).withColumnRenamed("en_target_clue", "_clue")
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("mlm_pred_log_prob", "mlm_pred_margin", "mlm_pred_entropy")}
-    return df.join(found, r.key, "left").withColumns(zero | {"mlm_pred_word": F.coalesce("mlm_pred_word", F.lit(""))})
+    return df.join(bounded(found), df["en_target_clue"] == found["_clue"], "left").drop("_clue").withColumns(zero | {"mlm_pred_word": F.coalesce("mlm_pred_word", F.lit(""))})
 
 
 @group("baseline_meta")
@@ -110,6 +119,7 @@ def build(items: DataFrame, resources: Resources, groups: Sequence[str] | None =
     catalog: dict[str, list[str]] = {}
     out = items
     resources.corpus = durable(resources.corpus)
+    resources.extra.pop(SCORES, None)  # those of other items
     for name in groups or list(REGISTRY):
         if name not in REGISTRY:
             raise ConfigError("unknown feature group", group=name, known=sorted(REGISTRY))

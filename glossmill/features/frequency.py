@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glossmill.features.lexical import clean_key
 from glossmill.functions.windows import keep_first, percentile_ranks
+from glossmill.session import durable
 
 # Surface tags and their universal tags.
 TAGS = {
@@ -68,10 +69,10 @@ def lookup_with_fallback(items: DataFrame, lexicon: DataFrame, word: str, tag: s
 
 
 def token_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Corpus lexicon: word, n, docs, rank, freq, zipf, cd (share of documents). Partial aggregates combine map-side."""
+    """Corpus lexicon: word, n, docs, rank, freq, zipf, cd (share of documents). Partial aggregates combine map-side; the counts are written, so texts are taken apart once."""
     words = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{M}]+"), F.lit(0))).alias("word"))
-    per = words.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
-    total = words.agg(F.count("*").alias("t")).crossJoin(documents.agg(F.countDistinct("doc_id").alias("d")))
+    per = durable(words.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")))
+    total = per.agg(F.sum("n").alias("t")).crossJoin(documents.agg(F.countDistinct("doc_id").alias("d")))
     out = per.crossJoin(F.broadcast(total))  # one row
     return out.select("word", "n", "docs", (F.col("n") / F.col("t")).alias("freq"), F.log10(F.col("n") / F.col("t") * 1e9).alias("zipf"), (F.col("docs") / F.col("d")).alias("cd"))
 

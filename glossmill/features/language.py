@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions.ranges import min_ranks
+from glossmill.functions.windows import top_k
+from glossmill.session import bounded, durable
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 COLUMNS = ("mlm_log_prob", "mlm_rank", "mlm_entropy", "surprisal_masked", "surprisal_pll", "surprisal_subword_mean", "surprisal_subword_sum")
@@ -51,12 +53,22 @@ def built_in_scores(pairs: DataFrame, model: DataFrame, vocabulary: DataFrame) -
     return out.select("word", (-F.col("masked")).alias("mlm_log_prob"), F.coalesce("rank", F.lit(1)).alias("mlm_rank"), F.col("doubt").alias("mlm_entropy"), F.col("masked_mean").alias("surprisal_masked"), F.col("total").alias("surprisal_pll"), F.col("mean").alias("surprisal_subword_mean"), F.col("total").alias("surprisal_subword_sum"))
 
 
-def language_group(items: DataFrame, corpus: DataFrame, scorer: Scorer | None = None, context: str = "L1_context", word: str = "en_target_word", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """Append language-model columns; blank words score (0, 1, 0, 0, ...)."""
-    keyed = items.withColumn("_w", F.lower(F.trim(F.coalesce(word, F.lit("")))))
+def masked_word(word: str) -> Column:
+    """The word as the scorers take it."""
+    return F.lower(F.trim(F.coalesce(word, F.lit(""))))
+
+
+def word_scores(items: DataFrame, corpus: DataFrame, word: str = "en_target_word") -> DataFrame:
+    """built_in_scores() of the items' words under the corpus model. A written table."""
+    return durable(built_in_scores(items.select(masked_word(word).alias("word")), ngram_model(corpus), corpus))
+
+
+def language_group(items: DataFrame, corpus: DataFrame, scorer: Scorer | None = None, context: str = "L1_context", word: str = "en_target_word", columns: tuple[str, ...] = COLUMNS, scores: DataFrame | None = None) -> DataFrame:
+    """Append language-model columns; blank words score (0, 1, 0, 0, ...). scores: word_scores() of the items, if made already."""
+    keyed = items.withColumn("_w", masked_word(word))
     if scorer is None:
-        scores = built_in_scores(keyed.select(F.col("_w").alias("word")), ngram_model(corpus), corpus)
-        out = keyed.join(scores.select(F.col("word").alias("_w"), *columns), "_w", "left")
+        scores = word_scores(items, corpus, word) if scores is None else scores
+        out = keyed.join(bounded(scores.select(F.col("word").alias("_w"), *columns)), "_w", "left")
     else:
         pairs = keyed.select(F.col(context).alias("context"), F.col("_w").alias("word")).distinct()
         scores = pairs.mapInPandas(scorer, "context string, word string, " + ", ".join(f"{c} double" for c in COLUMNS))
@@ -79,20 +91,29 @@ def shortlist(items: DataFrame, vocabulary: DataFrame, key: str, clue: str, k: i
     wanted = F.lower(F.trim(F.coalesce(F.col(target), none))) if target else none
     asked = items.select(key, F.col(clue).alias("_clue"), F.lower(F.regexp_extract(F.coalesce(clue, none), "([A-Za-z])", 1)).alias("_first"), F.length(F.when(wanted != "", wanted).otherwise(F.lower(F.trim(F.coalesce(clue, none))))).alias("_len"), (F.lower(F.trim(F.coalesce(F.col(tag), none))) if tag else none).alias("_tag")).filter("_first <> ''")
     kind = ["_clue", "_first", "_len", "_tag"]
-    words = vocabulary.filter("word rlike '^[a-z]+$'").select("word", "n", F.substring("word", 1, 1).alias("_first"), (F.lower("pos") if "pos" in vocabulary.columns else none).alias("_pos"))
-    fits = asked.select(*kind).distinct().join(words, "_first")
-    steps = [clue_matches(F.col("word"), F.col("_clue")), F.abs(F.length("word") - F.col("_len")) <= tolerance, (F.col("_tag") == "") | (F.col("_pos") == F.col("_tag"))]
-    for i, fit in enumerate(steps):  # an aggregate per step says for which questions it leaves a word
-        fits = fits.withColumn("_fit", fit)
-        some = fits.groupBy(*kind).agg(F.max("_fit").alias("_any"))
-        fits = fits.join(some, kind).filter(F.col("_fit") | ~F.col("_any")).drop("_fit", "_any")
-    placed = fits.withColumn("place", F.row_number().over(Window.partitionBy(*kind).orderBy(F.col("n").desc(), "word"))).filter(F.col("place") <= k)
+    order = [F.col("n").desc(), F.col("word")]
+    words = vocabulary.filter("word rlike '^[a-z]+$'").select("word", "n", F.substring("word", 1, 1).alias("_first"), F.length("word").alias("_letters"), (F.coalesce(F.lower("pos"), none) if "pos" in vocabulary.columns else none).alias("_pos"))
+    kinds = durable(asked.select(*kind).distinct())
+    # a pattern fits words of its length only, so all or none of them are within the tolerance: of each tag, k are enough
+    hits = words.join(bounded(kinds.withColumn("_letters", F.length(F.lower(F.trim("_clue"))))), ["_first", "_letters"]).filter(clue_matches(F.col("word"), F.col("_clue")))
+    hits = durable(top_k(hits, [*kind, "_pos"], order, k, "_at").drop("_at"))
+    # where no pattern fits, the steps take or leave all words of a length and tag: of these, too, k are enough
+    heads = top_k(words, ["_first", "_letters", "_pos"], order, k, "_at").drop("_at")
+    fits = hits.unionByName(kinds.join(hits.select(*kind).distinct(), kind, "left_anti").join(heads, "_first"))
+    of_kind = Window.partitionBy(*kind)
+    for fit in (F.abs(F.col("_letters") - F.col("_len")) <= tolerance, (F.col("_tag") == "") | (F.col("_pos") == F.col("_tag"))):
+        fits = fits.withColumn("_fit", fit).withColumn("_any", F.max("_fit").over(of_kind)).filter(F.col("_fit") | ~F.col("_any"))
+    placed = top_k(fits, kind, order, k)
     return asked.join(placed.select(*kind, "word", "place", "n"), kind).select(key, "word", "place", "n")
 
 
+def clue_predictions(items: DataFrame, vocabulary: DataFrame, clue: str) -> DataFrame:
+    """Best candidate of each distinct clue by corpus frequency with log share, margin to the second and entropy: the built-in predictor."""
+    c = shortlist(items.select(clue).distinct(), vocabulary, clue, clue)
+    p = c.withColumn("lp", F.ln(F.col("n") / F.sum("n").over(Window.partitionBy(clue))))
+    return p.groupBy(clue).agg(F.max(F.when(F.col("place") == 1, F.col("word"))).alias("mlm_pred_word"), F.max("lp").alias("mlm_pred_log_prob"), F.coalesce(F.max(F.when(F.col("place") == 1, F.col("lp"))) - F.max(F.when(F.col("place") == 2, F.col("lp"))), F.lit(0.0)).alias("mlm_pred_margin"), (-F.sum(F.exp("lp") * F.col("lp"))).alias("mlm_pred_entropy"))
+
+
 def predicted_words(items: DataFrame, vocabulary: DataFrame, key: str, clue: str) -> DataFrame:
-    """Best candidate of each item by corpus frequency with log share, margin to the second and entropy: the built-in predictor."""
-    c = shortlist(items, vocabulary, key, clue)
-    total = c.groupBy(key).agg(F.sum("n").alias("t"))
-    p = c.join(total, key).withColumn("lp", F.ln(F.col("n") / F.col("t")))
-    return p.groupBy(key).agg(F.max(F.when(F.col("place") == 1, F.col("word"))).alias("mlm_pred_word"), F.max("lp").alias("mlm_pred_log_prob"), F.coalesce(F.max(F.when(F.col("place") == 1, F.col("lp"))) - F.max(F.when(F.col("place") == 2, F.col("lp"))), F.lit(0.0)).alias("mlm_pred_margin"), (-F.sum(F.exp("lp") * F.col("lp"))).alias("mlm_pred_entropy"))
+    """The prediction of each item's clue: key and the columns of clue_predictions(). Items without candidates are absent."""
+    return items.select(key, clue).join(bounded(durable(clue_predictions(items, vocabulary, clue))), clue).drop(clue)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.session import spread
 
 # Letter pairs that replace each other at half cost, and the vowels that do.
 HALF_COST = ("ck", "fv", "iy", "sz", "uw", "gj")
@@ -53,22 +54,36 @@ def prefix_suffix_ratio(a: Column, b: Column) -> Column:
 
 
 def _lcs(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table as the bits of one number (Hyyro)."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for y in b:
+        u = v & at.get(y, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
+#: Letter pairs, both ways round, that replace each other at half cost.
+_HALF = {(x, y) for p in HALF_COST for x, y in (p, p[::-1])} | {(x, y) for x in VOWELS for y in VOWELS if x != y}
 
 
 def _weighted_edits(a: str, b: str) -> float:
-    half = {frozenset(p) for p in HALF_COST} | {frozenset((x, y)) for x in VOWELS for y in VOWELS if x != y}
     row = [float(j) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], float(i)
+        corner, left = row[0], float(i)
+        row[0] = left
         for j, y in enumerate(b, 1):
-            swap = 0.0 if x == y else 0.5 if frozenset((x, y)) in half else 1.0
-            corner, row[j] = row[j], min(corner + swap, row[j] + 1, row[j - 1] + 1)
+            above = row[j]
+            least = corner if x == y else corner + 0.5 if (x, y) in _HALF else corner + 1
+            if above + 1 < least:
+                least = above + 1
+            if left + 1 < least:
+                least = left + 1
+            corner = above
+            row[j] = left = least
     return row[-1]
 
 
@@ -83,7 +98,7 @@ def alignments(pairs: DataFrame, a: str, b: str) -> DataFrame:
                 rows.append((x, y, _lcs(x, y) / n if n else 0.0, max(0.0, 1 - _weighted_edits(x, y) / n) if n else 1.0))
             yield pd.DataFrame(rows, columns=[a, b, "lcs_ratio", "weighted_levenshtein_sim"])
 
-    return pairs.select(a, b).distinct().mapInPandas(scan, f"{a} string, {b} string, lcs_ratio double, weighted_levenshtein_sim double")
+    return spread(pairs.select(a, b), a, b).distinct().mapInPandas(scan, f"{a} string, {b} string, lcs_ratio double, weighted_levenshtein_sim double")
 
 
 def graph_signal(kind: Column, shared: Column) -> Column:
@@ -99,9 +114,10 @@ def cognate_columns(df: DataFrame, source: str, target: str, kind: Column | None
     way round, has its score mixed in by LEXICON_SHARE.
     """
     keyed = df.withColumn("_a", unaccented_word(F.col(source))).withColumn("_b", unaccented_word(F.col(target)))
-    out = keyed.join(alignments(keyed, "_a", "_b"), ["_a", "_b"], "left")
-    out = out.withColumn("bigram_jaccard", F.when((F.col("_a") == F.col("_b")) & (F.col("_a") != ""), 1.0).otherwise(set_jaccard(bigram_set(F.col("_a")), bigram_set(F.col("_b")))))
-    out = out.withColumn("prefix_suffix", prefix_suffix_ratio(F.col("_a"), F.col("_b")))
+    same = (F.col("_a") == F.col("_b")) & (F.col("_a") != "")
+    alike = {"bigram_jaccard": F.when(same, 1.0).otherwise(set_jaccard(bigram_set(F.col("_a")), bigram_set(F.col("_b")))), "prefix_suffix": prefix_suffix_ratio(F.col("_a"), F.col("_b"))}
+    measured = alignments(keyed, "_a", "_b").withColumns(alike)  # of distinct pairs
+    out = keyed.join(measured.select("_a", "_b", "lcs_ratio", "weighted_levenshtein_sim", *alike), ["_a", "_b"], "left")
     x, y, z = CHAR_WEIGHTS
     out = out.withColumn("char_sim", F.least(F.lit(1.0), x * F.col("bigram_jaccard") + y * F.col("lcs_ratio") + z * F.col("prefix_suffix")))
     signal = F.lit(0.0) if kind is None else graph_signal(kind, shared)

@@ -3,13 +3,14 @@
 import math
 import random
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from glossmill.config import validate_blocks
-from glossmill.features.language import built_in_scores, ngram_model, shortlist
+from glossmill.features.language import built_in_scores, ngram_model, predicted_words, shortlist
 from glossmill.features.tags import best_token, lemma_map, semantic_tags
 from glossmill.functions.ranges import min_ranks, quantiles, value_ranks
 from glossmill.functions.similarity import cognate_columns
@@ -226,3 +227,41 @@ def test_prompts(spark):
     assert kinds == {"a": "float", "b": "bool", "s": "str", "f": "bool"}
     got = [r.p for r in df.select(analysis.prompt(["t"], ["a", "b", "s", "f"], kinds=kinds | {"a": "int"}).alias("p")).collect()]
     assert got == ["TEXT: t [SEP] FEATURES: a=2 | b=true | s=x | f=true", "TEXT:  [SEP] FEATURES: a=NA | b=false | s=NA | f=NA"]
+
+
+def test_shortlist_against_brute_force(spark):
+    rng = random.Random(9)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))): rng.randint(1, 30) for _ in range(150)}
+    tagged = [(w, n, rng.choice(["NOUN", "VERB", None])) for w, n in words.items()]
+    clue = lambda: "".join(rng.choice("abc_") for _ in range(rng.randint(1, 7)))
+    items = [(i, c, "".join(rng.choice("ab") for _ in range(rng.randint(0, 8))), rng.choice(["NOUN", "ADJ", "", None])) for i, c in enumerate(["zz", "", None, " A__ ", *[clue() for _ in range(60)]])]
+
+    def best(c, target, tag, k, tolerance):
+        first = next((x for x in (c or "").lower() if x.isascii() and x.isalpha()), None)
+        left, c = [w for w in tagged if first and w[0].startswith(first)], (c or "").strip(" ").lower()
+        length = len(target or c)
+        for fit in (lambda w: len(w[0]) == len(c) and all(x in ("_", y) for x, y in zip(c, w[0])), lambda w: abs(len(w[0]) - length) <= tolerance, lambda w: not tag or (w[2] or "").lower() == tag.lower()):
+            left = [w for w in left if fit(w)] or left
+        return [w[0] for w in sorted(left, key=lambda w: (-w[1], w[0]))[:k]]
+
+    df, vocabulary = spark.createDataFrame(items, "k int, clue string, t string, p string"), spark.createDataFrame(tagged, "word string, n int, pos string")
+    for k, target, tag, tolerance in ((3, None, None, 0), (4, "t", "p", 1), (50, "t", "p", 0)):
+        got = {}
+        for r in shortlist(df, vocabulary, "k", "clue", k=k, target=target, tag=tag, tolerance=tolerance).orderBy("place").collect():
+            got.setdefault(r.k, []).append(r.word)
+        want = {i: w for i, c, t, p in items if (w := best(c, t if target else "", p if tag else "", k, tolerance))}
+        assert got == want and len(want) > 30
+
+
+def test_predicted_words_move_clues_not_items(spark):
+    """feature_table's time: 50 candidates of every item were sorted and summed, where few clues are asked."""
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    items = spark.range(20_000).select(F.col("id").alias("k"), F.element_at(F.array(F.lit("a__"), F.lit("b__")), (F.col("id") % 2 + 1).cast("int")).alias("clue"))
+    vocabulary = spark.createDataFrame([(a + b + c, 1 + i) for i, (a, b, c) in enumerate(product("ab", "abcdefgh", "abcdefgh"))], "word string, n int")
+    before = shuffled()
+    got = predicted_words(items, vocabulary, "k", "clue").collect()
+    assert len(got) == 20_000 and {r.mlm_pred_word for r in got} == {"ahh", "bhh"}
+    assert shuffled() - before < 500_000
